@@ -177,6 +177,6 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, canonical: str, blocks:
     several = rows.groupBy("look", "form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo < hi").select("look", "form")
     mixed = rows.join(several, ["look", "form"], "left_semi")
     left = mixed.select("look", "form", F.col("spelling").alias("s1"), F.col("id").alias("i1"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    right = mixed.select("look", "form", F.col("spelling").alias("s2"), F.col("id").alias("i2"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"))
+    right = mixed.select("look", "form", F.col("spelling").alias("s2"), F.col("id").alias("i2"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     pairs = left.join(right, ["look", "form", "block"]).where((F.col("s1") != F.col("s2")) & (F.col("i1") < F.col("i2")))
     return pairs.select(F.col("i1").alias("id_a"), F.col("i2").alias("id_b")).distinct()

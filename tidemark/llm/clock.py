@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def micros(ts: Column) -> Column:
     """Microseconds of a TIMESTAMP_NTZ since 1970-01-01 00:00 on its own clock."""
     day = F.unix_date(ts.cast("date")).cast("bigint")
-    seconds = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
-    return day * 86_400_000_000 + F.hour(ts) * 3_600_000_000 + F.minute(ts) * 60_000_000 + seconds
+    seconds = (F.extract(F.lit("SECOND"), ts).cast("double") * 1_000_000).cast("bigint")
+    return day * 86_400_000_000 + F.hour(ts).cast("bigint") * 3_600_000_000 + F.minute(ts).cast("bigint") * 60_000_000 + seconds
 
 
 def seconds(ts: Column) -> Column:
