@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import clock, runs
+from tidemark.llm import clock, nearest, runs
 from tidemark.sources.tables import table
 
 MAX_GAP_SECONDS = 1800
@@ -55,6 +55,24 @@ def p6_similar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("entity").alias("official_uid"), "label", F.col("first_key").alias("first_time_idx"), F.col("last_key").alias("last_time_idx"), F.col("n").alias("n_windows"), F.round(F.col("features")[0], 6).alias("mean_density"))
 
 
+TOLERANCE_SECONDS = 360
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each official post with the nearest feature window of its account within six minutes."""
+    posts = table(spark, sf_dir, "temp_all_official_standart_time_type").where("official_post_type is not null").select(F.col("official_uid").alias("entity"), F.col("post_id").alias("id"), nearest.at(F.col("timestamp")).alias("at"))
+    windows = table(spark, sf_dir, "features_19").select(F.col("official_uid").alias("entity"), F.col("window_id").alias("id"), nearest.at(F.col("timestamp")).alias("at"))
+    return nearest.nearest_join(spark, posts, windows, TOLERANCE_SECONDS).select(F.col("left_id").alias("post_id"), F.col("right_id").alias("window_id"))
+
+
+_NEAREST_SQL = """
+SELECT post_id, window_id FROM (
+  SELECT p.post_id, f.window_id, row_number() OVER (PARTITION BY p.post_id, p.ts ORDER BY abs(epoch_us(f.ts) - epoch_us(p.ts)), f.ts, f.window_id) AS k
+  FROM (SELECT DISTINCT post_id, official_uid, "timestamp" AS ts FROM temp_all_official_standart_time_type WHERE official_post_type IS NOT NULL AND "timestamp" IS NOT NULL) p
+  JOIN (SELECT DISTINCT window_id, official_uid, "timestamp" AS ts FROM features_19 WHERE "timestamp" IS NOT NULL) f
+    ON p.official_uid = f.official_uid AND f.ts BETWEEN p.ts - INTERVAL 360 SECOND AND p.ts + INTERVAL 360 SECOND) WHERE k = 1
+"""
+
 _RUNS_SQL = """
 WITH e AS (
   SELECT DISTINCT official_uid, time_idx, "timestamp" AS ts, coalesce(is_baseline_drift, false) AS drift,
@@ -67,8 +85,9 @@ b AS (SELECT *, CASE WHEN label = lag(label) OVER w AND drift = lag(drift) OVER
 g AS (SELECT *, sum(brk) OVER (PARTITION BY official_uid ORDER BY ts, time_idx) AS run FROM b)
 """
 
-QUERIES = {"p6_found": p6_found, "p6_runs": p6_runs, "p6_similar_runs": p6_similar_runs}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_runs": p6_runs, "p6_similar_runs": p6_similar_runs}
 ORACLES = {
+    "p2_found": _NEAREST_SQL,
     "p6_found": _RUNS_SQL + "SELECT official_uid, arg_min(time_idx, (ts, time_idx)) AS first_time_idx, arg_max(time_idx, (ts, time_idx)) AS last_time_idx, count(*) AS n_windows FROM g GROUP BY official_uid, run HAVING count(*) >= 2",
     "p6_runs": _RUNS_SQL + "SELECT official_uid, any_value(label) AS pred_label, any_value(drift) AS is_baseline_drift, arg_min(time_idx, (ts, time_idx)) AS first_time_idx, arg_max(time_idx, (ts, time_idx)) AS last_time_idx, count(*) AS n_windows, cast(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS duration_s FROM g GROUP BY official_uid, run",
 }
