@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import materialize
+
 # Look-alike letters by the plain letter they look like (public confusables data, letters that
 # are drawn the same; pairs within ASCII such as l and I or 0 and O are left apart).
 LOOKALIKES = {
@@ -173,7 +175,8 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, canonical: str, blocks:
     the rest, pairs are formed between different spellings; each spelling's records are spread over salted blocks,
     so that a spelling that holds a third of all rows doesn't stay in one task.
     """
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.xxhash64(canonical).alias("look"), F.sha2(text, 256).alias("spelling"), F.sha2(canonical, 256).alias("form")).distinct()
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.xxhash64(canonical).alias("look"), F.unhex(F.sha2(text, 256)).alias("spelling"), F.unhex(F.sha2(canonical, 256)).alias("form")).distinct()
+    rows = materialize(rows, "looks")  # the canonical forms are computed once, not for each use below
     several = rows.groupBy("look", "form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo < hi").select("look", "form")
     mixed = rows.join(several, ["look", "form"], "left_semi")
     left = mixed.select("look", "form", F.col("spelling").alias("s1"), F.col("id").alias("i1"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
