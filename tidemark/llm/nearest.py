@@ -3,8 +3,8 @@
 Method. A stateful streaming join. Both sides are buffered per entity in the state store of a stream-stream interval
 join; the watermark evicts a buffered row once no partner within the tolerance can still come. Candidates flow into an
 aggregation on the left row, which emits its nearest partner once the watermark has passed the row's tolerance
-horizon. The state lives in RocksDB on the executors' disks and its changes in the shared folder, so lost executors
-cost no state.
+horizon. The state's changes are written to the shared folder, so lost executors cost no state; where it is kept in
+between (memory or RocksDB) is the session's setting.
 
 Scale. An entity may hold a third of all rows: the join key is the entity with a block of time, and a right row goes
 to the one or two blocks that its tolerance reaches. Nothing is gathered per entity.
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from tidemark.llm import clock
 from tidemark.session import shared_dir
 
-SLICES = 4
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of both sides in a slice of the replay: bounds the state that the cluster holds at a time.
+SLICE_ROWS = 4_000_000
 _END = "__end__"
 
 
@@ -49,14 +49,23 @@ def nearest_stream(left: DataFrame, right: DataFrame, tolerance_s: int, lateness
     return best.select(F.col("l_entity").alias("entity"), F.col("l_id").alias("left_id"), F.col("best.i").alias("right_id"), (F.col("best.d") / 1_000_000).alias("distance_s"))
 
 
-def _slice_bounds(df: DataFrame, slices: int) -> list[int]:
-    """Borders in microseconds that cut the event times into slices of about equal numbers of rows; slices - 1 numbers."""
-    us = df.select(F.unix_micros("at").alias("us"))
-    cuts = us.agg(F.percentile_approx("us", [k / slices for k in range(1, slices)], 1000).alias("q"), F.min("us").alias("lo"), F.max("us").alias("hi")).first()
-    return sorted(set(cuts["q"] or []))
+def _slice_bounds(df: DataFrame, slice_rows: int) -> list[int]:
+    """Borders in microseconds that cut the event times into at least two slices of about slice_rows rows.
 
-
-def nearest_join(spark: SparkSession, left: DataFrame, right: DataFrame, tolerance_s: int, slices: int = SLICES) -> DataFrame:
+    Read from counts by day: one aggregation, a row for each day of the data's time range.
+    """
+    days = df.groupBy(F.floor(F.unix_micros("at") / 86_400_000_000).alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy("day").collect()
+    rows = min(slice_rows, max(1, sum(r["n"] for r in days) // 2))
+    bounds, size = [], 0
+    for r in days:
+        if size >= rows:
+            bounds.append(r["day"] * 86_400_000_000)
+            size = 0
+        size += r["n"]
+    return bounds
+
+
+def nearest_join(spark: SparkSession, left: DataFrame, right: DataFrame, tolerance_s: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The nearest partners of two finite tables of (entity, id BIGINT, at TIMESTAMP), replayed through the stream.
 
     Rows with a null entity, id or time can't be paired and are left out. Repeated rows give one row; rows of one id
@@ -68,7 +77,7 @@ def nearest_join(spark: SparkSession, left: DataFrame, right: DataFrame, toleran
     base = shared_dir(spark, "nearest")
     source, sink = f"{base}/source", f"{base}/result"
     schema = T.StructType([T.StructField("side", T.IntegerType()), T.StructField("entity", T.StringType()), T.StructField("id", T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("slice", T.IntegerType())])
-    bounds = _slice_bounds(both, slices)
+    bounds = _slice_bounds(both, slice_rows)
     which = F.lit(0)
     for b in bounds:
         which = which + F.when(F.unix_micros("at") >= b, 1).otherwise(0)
@@ -77,24 +86,16 @@ def nearest_join(spark: SparkSession, left: DataFrame, right: DataFrame, toleran
     staged.repartition(F.col("slice"), F.pmod(F.xxhash64("entity", "id"), F.lit(8))).write.partitionBy("slice").parquet(f"{base}/staged")
     far = F.timestamp_micros(F.lit(253_000_000_000_000_000))
     result = T.StructType([T.StructField("entity", T.StringType()), T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType()), T.StructField("distance_s", T.DoubleType())])
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    try:
-        for k in range(len(bounds) + 2):
-            if k <= len(bounds):
-                part = spark.read.schema(schema).parquet(f"{base}/staged").where(F.col("slice") == k)
-            else:
-                part = spark.range(2).select(F.col("id").cast("int").alias("side"), F.lit(_END).alias("entity"), F.col("id"), far.alias("at"), F.lit(k).alias("slice"))
-            part.select("side", "entity", "id", "at", F.lit(k).alias("slice")).write.mode("append").parquet(source)
-            stream = spark.readStream.schema(schema).parquet(source)
-            nearest = nearest_stream(stream.where("side = 0").select("entity", "id", "at"), stream.where("side = 1").select("entity", "id", "at"), tolerance_s, lateness_s=0)
-            q = nearest.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).queryName(f"nearest-{uuid.uuid4().hex}").start()
-            q.awaitTermination()
-    finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    for k in range(len(bounds) + 2):
+        if k <= len(bounds):
+            part = spark.read.schema(schema).parquet(f"{base}/staged").where(F.col("slice") == k)
         else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+            part = spark.range(2).select(F.col("id").cast("int").alias("side"), F.lit(_END).alias("entity"), F.col("id"), far.alias("at"), F.lit(k).alias("slice"))
+        part.select("side", "entity", "id", "at", F.lit(k).alias("slice")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        nearest = nearest_stream(stream.where("side = 0").select("entity", "id", "at"), stream.where("side = 1").select("entity", "id", "at"), tolerance_s, lateness_s=0)
+        q = nearest.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).queryName(f"nearest-{uuid.uuid4().hex}").start()
+        q.awaitTermination()
     return spark.read.schema(result).parquet(sink).where(F.col("entity") != _END)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import queries_events, queries_text
+from tidemark.llm import queries_events, queries_groups, queries_text, queries_tokens
 
-MODULES = [queries_text, queries_events]
+MODULES = [queries_text, queries_events, queries_groups, queries_tokens]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
