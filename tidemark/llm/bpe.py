@@ -54,6 +54,9 @@ class Merges:
         right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.new_id = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.separator = max(vocab.values()) + 1
+        self.lengths = np.zeros(self.separator, np.int32)
+        for token, k in vocab.items():
+            self.lengths[k] = len(token)  # a letter for each byte; special tokens never come out
         # a cascade of hash tables: keys that collide at one level go to the next
         keys, ranks = (left << 17) | right, np.arange(len(pairs), dtype=np.int32)
         self.levels: list[tuple[np.uint64, int, np.ndarray, np.ndarray]] = []
@@ -69,6 +72,10 @@ class Merges:
             rest[first] = False
             keys, ranks, bits = keys[rest], ranks[rest], max(10, bits - 4)
 
+    def id_bytes(self) -> np.ndarray:
+        """The number of bytes of each token."""
+        return self.lengths
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair; _NONE where the vocabulary has none."""
         key = (a.astype(np.int64) << 17) | b
@@ -184,8 +191,8 @@ class Encoder:
         self.merges = merges
         self.split = regex.compile(PATTERN).findall
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each text); null and '' have none."""
+    def _parts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all distinct pre-tokens, their numbers of ids, the pre-token of each occurrence, occurrences of each text)."""
         known: dict[str, int] = {}
         of: list[int] = []
         per_text = np.zeros(len(texts), np.int64)
@@ -194,25 +201,36 @@ class Encoder:
                 parts = self.split(t)
                 per_text[k] = len(parts)
                 of.extend([known.setdefault(p, len(known)) for p in parts])
-        if not of:
-            return np.empty(0, np.int32), per_text
-        ids, counts, chunk, size = [], [], [], 0
+        ids, counts, chunk, size = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [], 0
+
+        def run() -> None:
+            i, c = RankQueue(self.merges, chunk).run()
+            ids.append(i)
+            counts.append(c)
+
         for p in known:
             b = p.encode("utf-8", "surrogatepass")
             chunk.append(b)
             size += len(b) + 1
             if size > CHUNK_BYTES:
-                i, c = RankQueue(self.merges, chunk).run()
-                ids.append(i)
-                counts.append(c)
+                run()
                 chunk, size = [], 0
         if chunk:
-            i, c = RankQueue(self.merges, chunk).run()
-            ids.append(i)
-            counts.append(c)
-        flat, n = np.concatenate(ids), np.concatenate(counts).astype(np.int64)
+            run()
+        return np.concatenate(ids), np.concatenate(counts).astype(np.int64), np.array(of, np.int64), per_text
+
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids of each text."""
+        _, n, occ, per_text = self._parts(texts)
+        ends = np.concatenate([[0], np.cumsum(n[occ])])
+        return np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text); null and '' have none."""
+        flat, n, occ, per_text = self._parts(texts)
+        if not len(occ):
+            return flat, per_text
         begin = np.cumsum(n) - n
-        occ = np.array(of, np.int64)
         length = n[occ]
         ends = np.cumsum(length)
         out = flat[np.repeat(begin[occ] - (ends - length), length) + np.arange(ends[-1])]
@@ -248,3 +266,17 @@ def encode_column(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
                 at = upto
 
     return df.select(key, text).mapInArrow(run, schema)
+
+
+def count_column(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZERS) -> DataFrame:
+    """(key, n_tokens BIGINT) of every row; 0 for null and empty texts."""
+    table = df.sparkSession.sparkContext.broadcast(Merges(f"{directory}/{tokenizer}.json"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_tokens", T.LongType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder(table.value)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.count(texts), pa.int64())], names=[key, "n_tokens"])
+
+    return df.select(key, text).mapInArrow(run, schema)

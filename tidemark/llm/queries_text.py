@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import canonical
+from tidemark.llm import canonical, pii
 from tidemark.sources.tables import table
 
 #: table, id, text
@@ -22,5 +22,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p5_found": p5_found}
+#: table, id
+WRITTEN = (("merged_comment", "comment_id"), ("merged_post", "post_id"))
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, n).select(F.lit(n).alias("table_name"), F.col(k).cast("string").alias("rec_id"), "text") for n, k in WRITTEN]
+    df = parts[0].unionByName(parts[1])
+    return pii.annotate(df, "text", pii.fit(df, "text"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose text holds a mention of a kind of personal information, one row for each kind."""
+    return _annotated(spark, sf_dir).select("table_name", "rec_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders for its mentions; one row for each record."""
+    out = _annotated(spark, sf_dir)
+    return out.groupBy("table_name", "rec_id").agg(F.max("redacted").alias("text"), F.max(F.size("kinds")).alias("n_kinds"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}
