@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import core_problems
+from tidemark.plans import core_problems, detection, features
 
-MODULES = [core_problems]
+MODULES = [core_problems, features, detection]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_problems.p4_fields(spark, sf_dir)
+    return detection.detect_labels(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

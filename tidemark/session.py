@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -45,3 +47,18 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make the package importable in the Python workers of a session, whatever their path is; once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return spark
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="tidemark-ship-")) / "tidemark.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"tidemark/{f.relative_to(root)}")
+    sc.addPyFile(str(target))  # the driver serves it to every executor, also to those that join later
+    sc._tidemark_shipped = True
+    return spark
