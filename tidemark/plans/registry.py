@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import core_problems, detection, features
+from tidemark.plans import core_problems, detection, features, statistics
 
-MODULES = [core_problems, features, detection]
+MODULES = [core_problems, features, detection, statistics]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
