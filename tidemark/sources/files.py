@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, is_dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,9 +25,22 @@ def read_words(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UT
 
 
 def _decoded(encodings: tuple[str, ...]):
-    """Bytes to text: valid UTF-8 as such, else the next encoding."""
-    first = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", encodings[0]))
-    return F.coalesce(first, *(F.decode("content", e) for e in encodings[1:]))
+    """Bytes to text in the first encoding that reads all of them; bytes that none reads are replaced."""
+
+    @F.pandas_udf("string")
+    def decode(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(b: bytes) -> str:
+            for e in encodings:
+                try:
+                    return b.decode(e)
+                except UnicodeDecodeError:
+                    pass
+            return b.decode(encodings[0], "replace")
+
+        for s in it:
+            yield s.map(one, na_action="ignore")
+
+    return decode("content")
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
