@@ -9,6 +9,7 @@ from tidemark.functions import vectors
 from tidemark.operators import features as ft
 from tidemark.operators import text as tx
 from tidemark.operators import windows as wn
+from tidemark.operators.calendar import day_slot, is_holiday
 from tidemark.plans.common import COMMENTS, OFFICIAL, POSTS, SLOT, UNIFIED, WINDOWS, comments, official, posts, r, unified, windows
 from tidemark.sources.tables import table
 
@@ -261,14 +262,13 @@ def event_code_by_day(spark: SparkSession, d: str) -> DataFrame:
     return out.select("window_id", F.coalesce("event", F.lit("none")).alias("event"), F.coalesce(F.array_position("names", F.col("event")), F.lit(0)).cast("bigint").alias("code"))
 
 
-@query(f"WITH {WINDOWS} SELECT window_id, hour(t) AS hour, (dayofweek(t) + 6) % 7 AS dow, month(t) AS month, day(t) AS day, CAST((dayofweek(t) + 6) % 7 >= 5 AS INT) AS weekend, CASE WHEN hour(t) < 2 THEN 0 WHEN hour(t) < 6 THEN 1 WHEN hour(t) < 9 THEN 2 WHEN hour(t) < 12 THEN 3 WHEN hour(t) < 14 THEN 4 WHEN hour(t) < 18 THEN 5 ELSE 6 END AS day_slot, hour(t) * 4 + minute(t) // 15 AS slot96, CAST(trunc((epoch(t) - epoch(TIMESTAMP '2025-02-01')) / 900) AS BIGINT) AS time_idx FROM (SELECT *, \"timestamp\" AS t FROM w19)")
+@query(f"WITH {WINDOWS} SELECT window_id, hour(t) AS hour, (dayofweek(t) + 6) % 7 AS dow, month(t) AS month, day(t) AS day, CAST((dayofweek(t) + 6) % 7 >= 5 AS INT) AS weekend, CASE WHEN hour(t) < 6 THEN 0 WHEN hour(t) < 9 THEN 1 WHEN hour(t) < 12 THEN 2 WHEN hour(t) < 18 THEN 3 WHEN hour(t) < 20 THEN 4 WHEN hour(t) < 23 THEN 5 ELSE 6 END AS day_slot, (strftime(t, '%m%d') IN ('0101') OR strftime(t, '%m%d') BETWEEN '0121' AND '0127' OR strftime(t, '%m%d') BETWEEN '0201' AND '0206' OR strftime(t, '%m%d') BETWEEN '0404' AND '0406' OR strftime(t, '%m%d') BETWEEN '0501' AND '0505' OR strftime(t, '%m%d') BETWEEN '0610' AND '0612' OR strftime(t, '%m%d') BETWEEN '0915' AND '0917' OR strftime(t, '%m%d') BETWEEN '1001' AND '1007') AS holiday, hour(t) * 4 + minute(t) // 15 AS slot96, CAST(trunc((epoch(t) - epoch(TIMESTAMP '2025-02-01')) / 900) AS BIGINT) AS time_idx FROM (SELECT *, \"timestamp\" AS t FROM w19)")
 def time_features(spark: SparkSession, d: str) -> DataFrame:
-    """SF18, SF21, SF22."""
+    """SF18, SF19, SF21, SF22."""
     t = F.col("timestamp")
     h = F.hour(t)
-    slot = F.when(h < 2, 0).when(h < 6, 1).when(h < 9, 2).when(h < 12, 3).when(h < 14, 4).when(h < 18, 5).otherwise(6)
     base = F.lit("2025-02-01 00:00:00").cast("timestamp_ntz")
-    return windows(spark, d).select("window_id", h.alias("hour"), F.weekday(t).alias("dow"), F.month(t).alias("month"), F.day(t).alias("day"), (F.weekday(t) >= 5).cast("int").alias("weekend"), slot.alias("day_slot"), (h * 4 + F.floor(F.minute(t) / 15)).cast("bigint").alias("slot96"), wn.time_index(t, base).alias("time_idx"))
+    return windows(spark, d).select("window_id", h.alias("hour"), F.weekday(t).alias("dow"), F.month(t).alias("month"), F.day(t).alias("day"), (F.weekday(t) >= 5).cast("int").alias("weekend"), day_slot(t).alias("day_slot"), is_holiday(t).alias("holiday"), (h * 4 + F.floor(F.minute(t) / 15)).cast("bigint").alias("slot96"), wn.time_index(t, base).alias("time_idx"))
 
 
 @query(f"WITH {POSTS} SELECT DISTINCT u AS url, md5(u) AS name, substr(md5(u), 1, 2) || '/' || md5(u) || '.jpg' AS path FROM (SELECT unnest(string_split(image_urls, ', ')) AS u FROM posts WHERE image_urls IS NOT NULL UNION ALL SELECT video_cover_url FROM posts) WHERE u IS NOT NULL AND u <> '' AND regexp_matches(u, '^[A-Za-z0-9:/._?&=%-]+$')")

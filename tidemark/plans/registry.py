@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import core_problems, detection, features, models, statistics
+from tidemark.plans import core_problems, detection, extras, features, models, statistics
 
-MODULES = [core_problems, features, detection, statistics, models]
+MODULES = [core_problems, features, detection, statistics, models, extras]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
