@@ -1,15 +1,15 @@
 """Problem 3: near-duplicate texts over a collection too large for pairwise comparison.
 
 Method. LSH forest. Each distinct text gets a min-wise signature of TREES x DEPTH values over its shingles. Tree t sorts
-the texts by its DEPTH values; texts with a long common prefix in that order are candidates. The depth is adaptive for
-each region of the order: a region is opened at MIN_DEPTH, and where it holds more than `region` texts it is descended
-into, value by value, until it is small enough or the signature ends. So sparse regions are compared at a short prefix,
-which keeps recall, and dense ones at a long prefix, which keeps them cheap.
+the texts by its values; texts with a long common prefix in that order are candidates. The depth is adaptive for each
+region of the order: a region is opened at MIN_DEPTH values, and where it holds more than REGION texts it is descended
+into, down to MAX_DEPTH. A dense region is sorted by each of the tree's remaining values, not by one alone, so a pair
+stays together if it agrees in any of them and recall hardly falls with depth.
 
 Exactness. Candidates of a region are compared by their whole signatures first (an estimate of the similarity with a
 margin of several standard deviations), then by the exact similarity of their shingle sets; only true pairs come out.
-Regions that are still large at full depth, which hold texts whose sampled shingles all agree, are cut into blocks, and
-all block pairs of a region are compared in tasks of their own: nothing is capped.
+Regions that are still large at MAX_DEPTH hold texts that agree in four values of six and so are mostly similar: their
+pairs are the result. They are cut into blocks, and all block pairs are compared in tasks of their own: nothing is capped.
 
 Scale. Exact copies are collapsed first, so a text that a third of all rows share is one text here. What is shuffled is
 a short signature for each tree, and the texts of candidates; nothing is gathered for the driver.
@@ -29,8 +29,9 @@ from tidemark.session import materialize
 
 TREES = 20
 DEPTH = 6
-MIN_DEPTH = 2
-REGION = 96
+MIN_DEPTH, MAX_DEPTH = 2, 4
+#: Texts of a region that are compared without descending further.
+REGION = 1024
 SEED = 20250201
 
 
@@ -113,13 +114,13 @@ def _candidates(ids: np.ndarray, sigs: np.ndarray, cut: int, need: float) -> tup
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def near_pairs(df: DataFrame, key: str, text: str, threshold: float, shingle=shingles, trees: int = TREES, depth: int = DEPTH, min_depth: int = MIN_DEPTH, region: int = REGION) -> DataFrame:
+def near_pairs(df: DataFrame, key: str, text: str, threshold: float, shingle=shingles, trees: int = TREES, depth: int = DEPTH, min_depth: int = MIN_DEPTH, max_depth: int = MAX_DEPTH, region: int = REGION) -> DataFrame:
     """(a, b, similarity) over distinct keys, a < b: all candidate pairs whose shingle sets have at least that similarity.
 
     df: one row for each distinct text, with a BIGINT key. Null texts and texts without shingles have no pairs. An empty
-    table has none. Other columns are not read. For a pair of similarity s a tree opened at depth d finds it with
-    probability s^d; with the defaults a pair at 0.6 is missed with probability (1 - 0.36)^20, one in 7,500, in sparse
-    regions, and dense regions are as deep as they must be to be small.
+    table has none. Other columns are not read. For a pair of similarity s a tree finds it with probability s^2 in sparse
+    regions; at 0.6 twenty trees miss one pair in 7,500. In dense regions each level keeps it with 1 - (1 - s)^k, where k
+    values remain: one pair in 5,000 is missed at depth 3, one in 3,000 at depth 4.
     """
     spark = df.sparkSession
     a, b = _multipliers(trees * depth)
@@ -142,22 +143,30 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float, shingle=shi
     signed = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("txt")).where(F.col("txt").isNotNull()).withColumn("sig", sign("txt")).where(F.col("sig").isNotNull())
     signed = materialize(signed, "signatures")
 
-    # one row for each text and tree; the prefix of the tree's values at depth d is the first 4 d bytes of its part
-    entries = signed.select("id", F.posexplode(F.array(*(F.substring("sig", 4 * depth * t + 1, 4 * depth) for t in range(trees)))).alias("tree", "path"))
-    # sizes of the regions at every depth, one aggregation with map-side combine over hashes of prefixes
-    marks = entries.select("tree", "path", F.explode(F.array(*(F.lit(d) for d in range(min_depth, depth)))).alias("d")).select("tree", "d", F.expr("substring(path, 1, 4 * d)").alias("prefix"))
-    dense = materialize(marks.groupBy("tree", "d", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > region).select("tree", "d", "prefix"), "dense")
-    placed = entries.withColumn("d", F.lit(min_depth)).withColumn("prefix", F.expr(f"substring(path, 1, {4 * min_depth})"))
-    for d in range(min_depth, depth):
-        # a text goes one value deeper where its region of depth d is dense; regions are many and small, so is the table
-        deeper = dense.where(F.col("d") == d).select(F.col("tree").alias("t_"), F.col("prefix").alias("p_"), F.lit(True).alias("dense_"))
-        placed = placed.join(deeper, (F.col("tree") == F.col("t_")) & (F.col("prefix") == F.col("p_")) & (F.col("d") == d), "left")
-        go = F.coalesce(F.col("dense_"), F.lit(False))
-        placed = placed.select("id", "tree", "path", F.when(go, d + 1).otherwise(F.col("d")).alias("d"), F.when(go, F.expr(f"substring(path, 1, {4 * (d + 1)})")).otherwise(F.col("prefix")).alias("prefix"))
-    regions = materialize(placed.select("id", "tree", F.xxhash64("tree", "d", "prefix").alias("r")), "regions")
-    # alone in a region: no candidate there
-    sizes = regions.groupBy("r").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = regions.join(sizes, "r").select("id", "r", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) % F.ceil(F.col("n") / (2 * region))).cast("int").alias("block"), F.ceil(F.col("n") / (2 * region)).cast("int").alias("blocks"))
+    # the first order of every tree: a region is a hash of the tree and its first min_depth values
+    start = signed.select("id", F.posexplode(F.array(*(F.substring("sig", 4 * depth * t + 1, 4 * depth) for t in range(trees)))).alias("tree", "path"))
+    level = start.select("id", "path", F.lit(0).alias("used"), F.xxhash64("tree", F.expr(f"substring(path, 1, {4 * min_depth})")).alias("r"))
+    found = []
+    for d in range(min_depth, max_depth + 1):
+        last = d == max_depth
+        level = materialize(level, "level")
+        sizes = level.groupBy("r").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # alone in a region: no candidate there
+        sizes = materialize(sizes, "sizes")
+        fits = sizes if last else sizes.where(F.col("n") <= region)
+        found.append(level.select("id", "r").join(fits, "r"))
+        dense = sizes.where(F.col("n") > region).select("r")
+        if last or not dense.limit(1).count():
+            break
+        # a dense region is sorted anew by each value of its tree that it hasn't used: one region for each order and value
+        orders = F.filter(F.sequence(F.lit(min_depth), F.lit(depth - 1)), lambda j: F.getbit("used", j) == 0)
+        deeper = level.join(dense, "r", "left_semi").select("id", "path", "used", "r", F.explode(orders).alias("j"))
+        bit = F.call_function("shiftleft", F.lit(1), F.col("j"))
+        level = deeper.select("id", "path", F.col("used").bitwiseOR(bit).alias("used"), F.xxhash64("r", "j", F.expr("substring(path, 4 * j + 1, 4)")).alias("r"))
+    regions = found[0]
+    for f in found[1:]:
+        regions = regions.unionByName(f)
+    blocks = F.ceil(F.col("n") / (2 * region)).cast("int")
+    members = regions.select("id", "r", F.pmod(F.xxhash64("id"), blocks.cast("bigint")).cast("int").alias("block"), blocks.alias("blocks"))
     # large regions of full depth: every pair of blocks is a task of its own
     tasks = members.select("id", "r", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "r", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     short = signed.select("id", F.expr(f"substring(sig, {4 * trees * depth + 1}, {trees * depth})").alias("sig"))
