@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,6 +32,23 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
     return ship(spark)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """At the end of the driver, remove what it wrote to the shared folder."""
+    for spark, path in _made:
+        plain = path.removeprefix("file://")
+        if plain.startswith("/"):
+            shutil.rmtree(plain, ignore_errors=True)
+        else:
+            with contextlib.suppress(Exception):  # the session may be gone; its folder then outlives it
+                jvm = spark.sparkContext._jvm
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir.
 
@@ -38,7 +58,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
