@@ -88,3 +88,20 @@ def test_zone_is_estimated_from_the_order_of_events(spark):
 def test_brute_force_of_abbreviations():
     table = ts.abbreviations()
     assert table["CEST"] == 7200 and table["JST"] == 32400 and table["Asia/Shanghai|CST"] == 28800 and table["America/Chicago|CST"] == -21600
+
+
+def test_query_equals_an_independent_reader(spark, data):
+    from tests.time_reader import ref
+    from tidemark.plans.core_problems import FIELDS, p4_found
+    from tidemark.sources.tables import table
+
+    want = set()
+    for name, key, fields in FIELDS:
+        for r in table(spark, data, name).select(key, "client_tz", "crawled_at", *fields).collect():
+            for f in fields:
+                # Row gives naive local times of the driver, which the tests run in UTC
+                u = ref(r[f], r["client_tz"], r["crawled_at"].replace(tzinfo=UTC))
+                if u is not None:
+                    want.add((name, str(r[key]), f, u))
+    got = [tuple(r) for r in p4_found(spark, data).collect()]
+    assert set(got) == want and len(got) == len(set(got))

@@ -102,7 +102,7 @@ CATEGORY = {"PV": "promotion_main", "版本预告": "promotion_main", "抽奖":
 _CAT_SQL = "CASE official_post_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY.items()) + " ELSE 'daily' END"
 
 
-@query(f"WITH {OFFICIAL} SELECT post_id, {_CAT_SQL} AS class, CASE WHEN official_uid = '7100000000' THEN 1.0 WHEN official_uid IS NULL THEN 1.0 ELSE 0.3 END AS weight FROM official")
+@query(f"WITH {OFFICIAL} SELECT post_id, {_CAT_SQL} AS class, CAST(CASE WHEN official_uid = '7100000000' THEN 1.0 WHEN official_uid IS NULL THEN 1.0 ELSE 0.3 END AS DOUBLE) AS weight FROM official")
 def channel_map_default(spark: SparkSession, d: str) -> DataFrame:
     codes = F.create_map(*(F.lit(x) for kv in CATEGORY.items() for x in kv))
     weight = F.create_map(F.lit("7100000000"), F.lit(1.0))

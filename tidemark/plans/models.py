@@ -217,7 +217,7 @@ def image_repetition(spark: SparkSession, d: str) -> DataFrame:
     return vs.repetition(_images(spark, d), "w", "h").withColumn("concentration", r(F.col("concentration")))
 
 
-@query(f"WITH {_IMAGES}, g AS (SELECT w, sum(m) AS n, sum(m) - count(*) AS red, max(m) AS largest FROM c GROUP BY w) SELECT w, round(least(100.0, red * (1 + largest / n)), 6) AS impact, round(red - lag(red) OVER (ORDER BY w), 6) AS change, round(red / greatest(coalesce(avg(red) OVER (ORDER BY w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 1), 1), 6) AS burst, CAST(sum(CAST(red > 0 AS INT)) OVER (ORDER BY w ROWS 2 PRECEDING) AS BIGINT) AS sustained FROM g")
+@query(f"WITH {_IMAGES}, g AS (SELECT w, sum(m) AS n, sum(m) - count(*) AS red, max(m) AS largest FROM c GROUP BY w) SELECT w, round(least(100.0, red * (1 + largest / n)), 6) AS impact, CAST(red - lag(red) OVER (ORDER BY w) AS DOUBLE) AS change, round(red / greatest(coalesce(avg(red) OVER (ORDER BY w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 1), 1), 6) AS burst, CAST(sum(CAST(red > 0 AS INT)) OVER (ORDER BY w ROWS 2 PRECEDING) AS BIGINT) AS sustained FROM g")
 def impact_score(spark: SparkSession, d: str) -> DataFrame:
     """SF39, WN11, PF20: a row for each day, so one line of windows is short."""
     g = vs.repetition(_images(spark, d), "w", "h").withColumn("all_", F.lit(0))
@@ -306,7 +306,7 @@ def embedding_topics(spark: SparkSession, d: str) -> DataFrame:
 # ---- sentiment rules, entities of the schedule, pages
 
 
-@query(f"WITH {POSTS} SELECT post_id, CASE WHEN regexp_matches(text, '转发微博|图片评论') THEN 0.5 WHEN regexp_matches(text, '退钱|避雷|闪退') THEN 0.1 WHEN regexp_matches(text, '好看|支持|绝了') THEN 0.9 ELSE 0.5 END AS score FROM posts WHERE text IS NOT NULL")
+@query(f"WITH {POSTS} SELECT post_id, CAST(CASE WHEN regexp_matches(text, '转发微博|图片评论') THEN 0.5 WHEN regexp_matches(text, '退钱|避雷|闪退') THEN 0.1 WHEN regexp_matches(text, '好看|支持|绝了') THEN 0.9 ELSE 0.5 END AS DOUBLE) AS score FROM posts WHERE text IS NOT NULL")
 def sentiment_cascade(spark: SparkSession, d: str) -> DataFrame:
     """SF32: the lexicon decides; without a model the rest is neutral."""
     p = posts(spark, d).where("text IS NOT NULL")
