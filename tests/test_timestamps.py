@@ -73,6 +73,13 @@ def test_empty_and_null_times(spark):
     assert sorted((r["value"], r["utc_seconds"]) for r in got) == [("2025-02-01 00:00", 1738339200), ("5分钟前", None)]
 
 
+def test_clashing_names(spark):
+    """Columns named like the parser's own come through unchanged."""
+    df = spark.createDataFrame([("2025-02-01 13:16:07", None, READ, 1, 2, "x", "y")], "value string, client_tz string, crawled_at timestamp, _wall int, _utc int, _form string, `a.b` string")
+    r = ts.normalize(spark, df, "value").first()
+    assert (r["_wall"], r["_utc"], r["_form"], r["a.b"], r["utc_seconds"]) == (1, 2, "x", "y", 1738386967)
+
+
 def test_zone_is_estimated_from_the_order_of_events(spark):
     """A writer without a declared zone whose wall times lie after their ingestion is not in the default zone."""
     rows = []

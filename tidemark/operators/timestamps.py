@@ -212,8 +212,11 @@ def normalize(spark: SparkSession, df: DataFrame, value: str, zone: str = "clien
     nothing can be read. Clashing names: existing columns utc_seconds and is_standard are replaced.
     """
     df = df.drop("utc_seconds", "is_standard")
-    keep = df.columns
     zones = known_zones()
+    # the given columns travel as one, so that none of their names can clash with those of the parser
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    df = df.select(row, F.col(value).alias("_value"), F.col(zone).alias("_zone"), F.col(crawled).alias("_crawled"))
+    value, zone, crawled = "_value", "_zone", "_crawled"
     declared = F.col(zone).isin(zones)
     parsed = parse(df, value, zone, crawled).withColumn("_group", F.when(declared, F.col(zone)).otherwise(F.concat(F.lit("?"), F.coalesce(F.col(zone), F.lit("")))))
     guessed = estimate_zones(parsed.where(F.col("_group").startswith("?")), "_group", crawled)
@@ -232,4 +235,4 @@ def normalize(spark: SparkSession, df: DataFrame, value: str, zone: str = "clien
     )
     standard = F.col(value).rlike(_STANDARD) & F.coalesce(F.col(zone) == DEFAULT_ZONE, F.lit(True))
     done = F.struct(utc.cast("bigint").alias("utc_seconds"), F.coalesce(standard, F.lit(False)).alias("is_standard"))
-    return out.select(*keep, F.inline(F.array(done)))
+    return out.select("_row.*", F.inline(F.array(done)))
