@@ -65,13 +65,15 @@ def _rank_sql(v: str) -> str:
   round(6.0 * list_sum(list_transform(list_zip(rp, rq), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / (4 * 15.0), 6) AS vsn_rank_shift FROM k"""
 )
 def deviation_signals(spark: SparkSession, d: str) -> DataFrame:
-    """DT1, SF14 to SF17."""
+    """DT1, SF14 to SF17: each account's windows against the first share of its own; null signals where the baseline has no values."""
     w = windows(spark, d)
-    quiet = w.where(f"timestamp >= TIMESTAMP_NTZ '{QUIET[0]}' AND timestamp < TIMESTAMP_NTZ '{QUIET[1]}'")
+    quiet = w.withColumn("q_", F.percent_rank().over(Window.partitionBy("official_uid").orderBy("timestamp"))).where(F.col("q_") < QUIET_SHARE)
     base = quiet.groupBy("official_uid").agg(F.percentile("neg_ratio_post", 0.05).alias("p5"), F.percentile("neg_ratio_post", 0.95).alias("p95"), F.stddev_pop("neg_ratio_post").alias("sd"), F.array(*(F.avg(F.coalesce(F.col(c), F.lit(0.0))) for c in _POST)).alias("am"), F.array(*(F.avg(F.coalesce(F.col(c), F.lit(0.0))) for c in _COMMENT)).alias("vm"))
-    x = w.join(base, "official_uid")
+    x = w.join(base, "official_uid", "left")
     out = dt.deviation_signals(x, F.col("neg_ratio_post"), _arr(_POST), _arr(_COMMENT), F.col("p5"), F.col("p95"), F.col("sd"), F.col("am"), F.col("vm"), "m")
-    return out.select("window_id", *(r(F.col(f"m_{s}")).alias(s) for s in ("residual_ratio", "att_kl", "vsn_js", "vsn_rank_shift")))
+    # the greatest of the scales skips nulls: without a baseline a ratio would be 0 or 20
+    known = {s: F.col("p95" if s == "residual_ratio" else "am").isNotNull() for s in dt.SIGNALS}
+    return out.select("window_id", *(F.when(known[s], r(F.col(f"m_{s}"))).alias(s) for s in ("residual_ratio", "att_kl", "vsn_js", "vsn_rank_shift")))
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
