@@ -1,12 +1,14 @@
 """Queries over small tables of their own, against brute force: nothing that the job covers is left out."""
 
 import datetime as dt
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+import regex
 
-from tidemark.plans import detection
+from tidemark.plans import detection, models
 
 
 def test_deviation_signals_keep_every_account(spark, tmp_path):
@@ -33,3 +35,28 @@ def test_deviation_signals_keep_every_account(spark, tmp_path):
             assert got[r[0]]["att_kl"] == pytest.approx((p * np.log(p / q)).sum(), abs=1e-6)
     assert all(got[f"None-{i}"]["residual_ratio"] is None and got[f"None-{i}"]["vsn_js"] is None for i in range(9))
     assert got["3-0"]["residual_ratio"] is None and got["3-0"]["att_kl"] == 0
+
+
+_DOCS = [("a", "Café café crème 砂水怀表 と カタカナ"), ("a", "naïve ABC x 7 好看好看"), ("b", "砂水怀表"), ("b", "plain words words สวัสดี 고래야 안녕 שלום"), (None, "élan 砂水"), ("b", None), ("c", "")]
+
+
+def _words(text):
+    """Words of two letters or more, of kana too, and pairs of ideographs."""
+    words = regex.findall(r"(?V1)[\p{Latin}\p{M}]{2,}|[\p{Hiragana}\p{Katakana}ー]{2,}|[[\p{L}\p{M}]--[\p{Latin}\p{Han}\p{Hiragana}\p{Katakana}ー]]{2,}", text.lower())
+    return words + [h[i : i + 2] for h in regex.findall(r"\p{Han}{2,}", text) for i in range(len(h) - 1)]
+
+
+def test_words_of_every_script_are_counted(spark, tmp_path):
+    spark.createDataFrame(_DOCS, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter(w for _, t in _DOCS if t for w in _words(t))
+    assert want["café"] == 2 and want["砂水"] == 3 and want["カタカナ"] == want["สวัสดี"] == want["고래야"] == 1
+    assert {r["word"]: r["n"] for r in models.vocab_frequency(spark, str(tmp_path)).collect()} == want
+
+    tf = Counter((s or "", w) for s, t in _DOCS if t for w in _words(t))
+    mean = sum(tf.values()) / len({s for s, _ in tf})
+    top = set()
+    for cls in {s for s, _ in tf}:
+        raw = {w: n * math.log(1 + mean / (want[w] + 1)) for (s, w), n in tf.items() if s == cls}
+        ranked = sorted(raw.values(), reverse=True)
+        top |= {(cls, i + 1, round(v / sum(ranked), 6)) for i, v in enumerate(ranked[:5]) if v >= 0.1 * ranked[0]}
+    assert {tuple(r) for r in models.ctfidf_top_words(spark, str(tmp_path)).collect()} == top

@@ -248,21 +248,17 @@ def exact_repetition(spark: SparkSession, d: str) -> DataFrame:
 _WORDS = "words AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents WHERE text IS NOT NULL)"
 
 
-def _ascii_words(c):
-    return F.regexp_extract_all(F.lower(c), F.lit("([a-z]{2,})"), F.lit(1))
-
-
 @query(f"WITH {_WORDS} SELECT word, count(*) AS n FROM words GROUP BY 1")
 def vocab_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """ML38."""
-    return tp.vocabulary(table(spark, d, "documents").where("text IS NOT NULL"), _ascii_words(F.col("text")))
+    """ML38, over words of every script and pairs of ideographs."""
+    return tp.vocabulary(table(spark, d, "documents").where("text IS NOT NULL"), tx.tokens(F.col("text"), other_scripts=True))
 
 
 @query(f"WITH {_WORDS}, t AS (SELECT coalesce(source, '') AS source, word, count(*) AS n FROM words GROUP BY ALL), a AS (SELECT word, sum(n) AS all_n FROM t GROUP BY 1), m AS (SELECT sum(n) / count(DISTINCT source) AS a FROM t), r AS (SELECT t.*, n * ln(1 + m.a / (all_n + 1)) AS w FROM t JOIN a USING (word), m), k AS (SELECT source, word, w / sum(w) OVER (PARTITION BY source) AS weight FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, word) AS rank, max(weight) OVER (PARTITION BY source) AS best FROM k) SELECT source, rank, round(weight, 6) AS weight FROM o WHERE rank <= 5 AND weight >= 0.1 * best")
 def ctfidf_top_words(spark: SparkSession, d: str) -> DataFrame:
-    """ML35, ST3."""
+    """ML35, ST3, over words of every script and pairs of ideographs."""
     df = table(spark, d, "documents").where("text IS NOT NULL").withColumn("source", F.coalesce("source", F.lit("")))
-    return tp.top_words(tp.class_tf_idf(df, "source", _ascii_words(F.col("text"))), "source").select("source", "rank", r(F.col("weight")).alias("weight"))
+    return tp.top_words(tp.class_tf_idf(df, "source", tx.tokens(F.col("text"), other_scripts=True)), "source").select("source", "rank", r(F.col("weight")).alias("weight"))
 
 
 @query()
