@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 import regex
 
+from tidemark.functions import mathx
+from tidemark.operators import models as md
 from tidemark.plans import detection, models
 
 
@@ -60,3 +62,22 @@ def test_words_of_every_script_are_counted(spark, tmp_path):
         ranked = sorted(raw.values(), reverse=True)
         top |= {(cls, i + 1, round(v / sum(ranked), 6)) for i, v in enumerate(ranked[:5]) if v >= 0.1 * ranked[0]}
     assert {tuple(r) for r in models.ctfidf_top_words(spark, str(tmp_path)).collect()} == top
+
+
+@pytest.mark.parametrize("kind", ["normal", "student"])
+def test_distance_of_fit_over_all_values(kind):
+    """The distance is the largest over all values, not over 200 of them."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(3000) if kind == "normal" else rng.standard_t(4, 3000)
+    fit = md.fit_marginal(x)
+    cdf = (lambda v: float(mathx.norm_cdf(v))) if fit["df"] == 0 else (lambda v: mathx.t_cdf(v, fit["df"]))
+    f = [cdf((v - fit["loc"]) / fit["scale"]) for v in np.sort(x)]
+    d = max(max((i + 1) / len(x) - c, c - i / len(x)) for i, c in enumerate(f))
+    assert fit["kind"] == kind and fit["ks"] == pytest.approx(d, abs=1e-9)
+    assert fit["p"] == pytest.approx(mathx.ks_pvalue(d, len(x)), abs=1e-6)
+
+
+def test_t_cdf_of_many_values():
+    for df in (2.5, 3.0, 7.3, 60.0):
+        x = np.array([-1e4, -80.0, -3.0, -0.2, 0.0, 1e-9, 0.7, 5.0, 300.0])
+        assert mathx.t_cdf_all(x, df) == pytest.approx([mathx.t_cdf(v, df) for v in x], abs=1e-8)

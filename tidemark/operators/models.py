@@ -128,10 +128,7 @@ def fit_marginal(x: np.ndarray) -> dict:
     st = s * math.sqrt((df - 2) / df)
     student = -2 * float((c - math.log(st) - (df + 1) / 2 * np.log1p(((x - m) / st) ** 2 / df)).sum()) + 6
     kind = "normal" if normal <= student else "student"
-    grid = np.linspace(0, n - 1, min(n, 200)).astype(int)
-    cdf = mathx.norm_cdf(z[grid]) if kind == "normal" else np.array([mathx.t_cdf(v, df) for v in (x[grid] - m) / st])
-    up = (grid + 1) / n
-    d = float(np.maximum(np.abs(up - cdf), np.abs(cdf - grid / n)).max())
+    d = mathx.ks_statistic(x, mathx.norm_cdf(z) if kind == "normal" else mathx.t_cdf_all((x - m) / st, df))
     p = mathx.ks_pvalue(d, n)
     if p <= 0.05 and d >= 0.05:
         kind = "empirical"
