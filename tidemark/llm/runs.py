@@ -9,7 +9,9 @@ Scale. An entity may hold a third of all rows, so its time line is cut into bloc
 agglomerated by itself. A run that is neither first nor last in its block is final. The others, at most two for each
 block, are agglomerated once more over the entity's whole line; their number is bounded by the blocks of the time
 range, however many events there are. For equal labels (similarity 0 or 1) this gives exactly the runs of one pass
-over the whole line; with features, a run across a border of blocks is merged after those inside.
+over the whole line. With features a merge moves a run's mean, so a line is cut only where neighbours can never merge,
+at another label or a gap beyond the limit; the stretches between cuts go to the block that they begin in and are
+agglomerated there once, which is exact too. A stretch is never split, so a group is as long as the longest of them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -114,6 +116,12 @@ def collapse_runs(df: DataFrame, entity: str, time_s: Column, key: str, label: C
     one = events.select("entity", F.floor(F.col("start_s") / block_seconds).alias("block"), "label", "first_key", F.col("first_key").alias("last_key"), "start_s", F.col("start_s").alias("end_s"), F.lit(1).cast("bigint").alias("n"), "features")
     # in a block of events, all neighbours in order are linked: each event is its own block there
     single = one.withColumn("pos", F.lit(0).cast("bigint")).withColumn("own", F.col("block"))
+    if fs:  # the block in which the event's stretch begins
+        line = Window.partitionBy("entity").orderBy("start_s", "first_key", "label", "features")
+        joined = (F.lag("label").over(line) == F.col("label")) & (F.col("start_s") - F.lag("start_s").over(line) <= max_gap)
+        begin = single.withColumn("pos", F.row_number().over(line).cast("bigint")).withColumn("begin", F.when(~F.coalesce(joined, F.lit(False)), F.col("start_s")))
+        begin = begin.withColumn("begin", F.last("begin", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        single = begin.withColumn("own", F.floor(F.col("begin") / block_seconds)).drop("begin")
     merge = _merge(min_similarity, max_gap)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,7 +130,12 @@ def collapse_runs(df: DataFrame, entity: str, time_s: Column, key: str, label: C
         out["block"] = b
         return out
 
+    if fs:
+        return _shown(single.groupBy("entity", "own").applyInPandas(first, schema))
     runs = materialize(single.groupBy("entity", "own").applyInPandas(first, schema), "runs")
     whole = runs.where("edge").groupBy("entity").applyInPandas(merge, schema)
-    out = whole.unionByName(runs.where("not edge"))
+    return _shown(whole.unionByName(runs.where("not edge")))
+
+
+def _shown(out: DataFrame) -> DataFrame:
     return out.select("entity", "label", "first_key", "last_key", "start_s", "end_s", "n", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "features")
