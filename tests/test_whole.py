@@ -10,7 +10,7 @@ import regex
 
 from tidemark.functions import mathx
 from tidemark.operators import models as md
-from tidemark.plans import detection, models
+from tidemark.plans import detection, features, models
 
 
 def test_deviation_signals_keep_every_account(spark, tmp_path):
@@ -81,3 +81,15 @@ def test_t_cdf_of_many_values():
     for df in (2.5, 3.0, 7.3, 60.0):
         x = np.array([-1e4, -80.0, -3.0, -0.2, 0.0, 1e-9, 0.7, 5.0, 300.0])
         assert mathx.t_cdf_all(x, df) == pytest.approx([mathx.t_cdf(v, df) for v in x], abs=1e-8)
+
+
+def test_pages_and_counts_keep_every_row(spark, tmp_path):
+    texts = [' "quoted" ', "<b>1 < 2 & 3 > 2</b>", "&lt;&amp;nbsp;", "it's", "line\n", '<div class="card-wrap" mid="9">', "  ", None]
+    counts = ["12", " 7 ", "1.2e3", "1.2万", "转发", "1_0", None, "3.0"]
+    cols = "post_id text author_id author_name post_type source_post_id source_author_name image_urls video_cover_url created_at reposts_count".split()
+    rows = [{**dict.fromkeys(cols), "post_id": str(i), "text": t, "author_name": 'a"<&', "reposts_count": c} for i, (t, c) in enumerate(zip(texts, counts))]
+    spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"{c} string" for c in cols)).write.parquet(f"{tmp_path}/merged_post.parquet")
+    got = {r["post_id"]: (r["author_name"], r["text"]) for r in models.html_card_extract(spark, str(tmp_path)).collect()}
+    assert got == {r["post_id"]: (r["author_name"], (r["text"] or "").strip(" ") or None) for r in rows}
+    got = {r["post_id"]: (r["reposts_count"], r["reposts"]) for r in features.counts_as_numbers(spark, str(tmp_path)).collect()}
+    assert got == {str(i): (c, {"12": 12, " 7 ": 7}.get(c)) for i, c in enumerate(counts)}

@@ -65,7 +65,7 @@ def parse_relative_time(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT post_id, reposts_count, try_cast(trim(reposts_count) AS BIGINT) AS reposts FROM merged_post WHERE reposts_count IS NULL OR NOT regexp_matches(reposts_count, '[.eE_]')")
 def counts_as_numbers(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "merged_post").where(F.col("reposts_count").isNull() | ~F.col("reposts_count").rlike("[.eE_]"))
+    df = table(spark, d, "merged_post")
     return df.select("post_id", "reposts_count", tx.count_number(F.col("reposts_count")).alias("reposts")).distinct()
 
 

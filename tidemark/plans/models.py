@@ -16,7 +16,7 @@ from tidemark.operators import visual as vs
 from tidemark.operators import windows as wn
 from tidemark.plans.common import OFFICIAL, POSTS, SLOT, WINDOWS, official, posts, r, windows
 from tidemark.plans.statistics import COLS
-from tidemark.sources.html import cards
+from tidemark.sources.html import cards, escaped
 from tidemark.sources.tables import table
 
 Q: dict = {}
@@ -319,10 +319,10 @@ def generic_entity_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {POSTS} SELECT post_id, author_name, trim(regexp_replace(text, '[<>&\"]', '', 'g')) AS text FROM posts WHERE text IS NOT NULL AND trim(regexp_replace(text, '[<>&\"]', '', 'g')) <> '' AND NOT regexp_matches(text, '\\s$|^\\s|^[<>&\" ]|[<>&\" ]$')")
 def html_card_extract(spark: SparkSession, d: str) -> DataFrame:
-    """SC10: pages are written from the posts, one for each post, and read back card by card."""
-    p = posts(spark, d).where(F.col("text").isNotNull() & ~F.col("text").rlike(r'\s$|^\s|^[<>&" ]|[<>&" ]$')).withColumn("t", F.trim(F.regexp_replace("text", '[<>&"]', ""))).where("t <> ''")
-    html = F.concat(F.lit('<html><div class="card-wrap" mid="'), F.col("post_id"), F.lit('"><p class="txt" nick-name="'), F.coalesce("author_name", F.lit("")), F.lit('">'), F.col("t"), F.lit("</p><li>转发 3</li></div></html>"))
-    return cards(p.select(html.alias("html")), "html").select("post_id", "author_name", "text")
+    """SC10: pages are written from the posts, one for each post, and read back card by card; spaces around a text go."""
+    text, author = (escaped(F.coalesce(c, F.lit(""))) for c in ("text", "author_name"))
+    html = F.concat(F.lit('<html><div class="card-wrap" mid="'), F.col("post_id"), F.lit('"><p class="txt" nick-name="'), author, F.lit('">'), text, F.lit("</p><li>转发 3</li></div></html>"))
+    return cards(posts(spark, d).select(html.alias("html")), "html").select("post_id", "author_name", "text")
 
 
 @query(f"WITH {POSTS}, w AS (SELECT text, max(length(text)) AS n FROM posts WHERE text IS NOT NULL GROUP BY 1) SELECT count(*) AS texts, count(*) FILTER (n > 50) AS long_texts FROM w")

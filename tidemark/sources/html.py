@@ -16,17 +16,31 @@ _PARTS = {
 }
 
 
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def resolved(c: Column) -> Column:
+    """The common entities resolved, each once."""
+    for a, b in _ENTITIES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def escaped(c: Column) -> Column:
+    """Text as it stands in a page; the inverse of `resolved`."""
+    for a, b in reversed(_ENTITIES[1:]):
+        c = F.replace(c, F.lit(b), F.lit(a))
+    return c
+
+
 def plain(c: Column) -> Column:
     """Text without tags and with the common entities resolved."""
-    t = F.regexp_replace(c, r"(?s)<[^>]*>", "")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(t)
+    return F.trim(resolved(F.regexp_replace(c, r"(?s)<[^>]*>", "")))
 
 
 def cards(df: DataFrame, html: str) -> DataFrame:
     """One row for each card of a page: id, author, text, counts (null where there is no number)."""
     card = df.select(F.explode(F.filter(F.split(html, r'(?=<div class="card-wrap")'), lambda s: s.contains("mid="))).alias("card_"))
     cols = {k: F.regexp_extract("card_", p, 1) for k, p in _PARTS.items()}
-    cols["text"] = plain(cols["text"])
+    cols["text"], cols["author_name"] = plain(cols["text"]), resolved(cols["author_name"])
     return card.select(*((c.try_cast("bigint") if k in ("reposts", "comments", "likes") else F.nullif(c, F.lit(""))).alias(k) for k, c in cols.items()))
