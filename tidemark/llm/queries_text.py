@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +15,23 @@ from tidemark.sources.tables import table
 TEXTS = (("merged_post", "post_id", "text"), ("df_sentences", "sentence_id", "sentences"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of records of one table whose texts differ in their code points but look the same."""
-    out = None
+def _looks(spark: SparkSession, sf_dir: str) -> Iterator[tuple[str, DataFrame]]:
+    """Each table's name with the looks of its records."""
     for name, key, text in TEXTS:
         df = table(spark, sf_dir, name).select(F.col(key).cast("string").alias("rec"), F.col(text).alias("txt")).where(F.col("txt").isNotNull())
-        pairs = canonical.lookalike_pairs(canonical.canonicalize(df, "txt"), "rec", "txt", "canonical").select(F.lit(name).alias("table_name"), "id_a", "id_b")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+        yield name, canonical.looks_of(canonical.canonicalize(df, "txt"), "rec", "txt", "canonical")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one table whose texts differ in their code points but look the same."""
+    parts = [canonical.lookalike_pairs(rows).select(F.lit(name).alias("table_name"), "id_a", "id_b") for name, rows in _looks(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record with a text: the class of records that look the same, and how many spellings it has."""
+    parts = [canonical.look_classes(rows).select(F.lit(name).alias("table_name"), F.col("id").alias("rec_id"), "class_id", "n_spellings") for name, rows in _looks(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 #: table, id
@@ -43,5 +55,5 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("table_name", "rec_id").agg(F.max("redacted").alias("text"), F.max(F.size("kinds")).alias("n_kinds"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_classes": p5_classes}
 ORACLES: dict[str, str] = {}
