@@ -75,6 +75,10 @@ def by_table(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(_FOLD.get(c, c) for c in t))
 
 
+#: The form of a sign, blank or lone ignorable; a text holds few different ones.
+_sign = lru_cache(maxsize=1 << 14)(by_table)
+
+
 def _word_class(ch: str) -> str:
     """h: ideograph, w: other letter, mark or digit, '': anything else, which is a token of its own."""
     return "h" if regex.fullmatch(r"\p{Han}", ch) else "w" if regex.fullmatch(r"[\p{L}\p{M}\p{N}]", ch) else ""
@@ -124,11 +128,8 @@ class LookTrie:
                 node = node.get(c)
                 if node is None:
                     return end, found
-            leaf = node.get("")
-            if leaf:
-                end, found = i + 1, leaf[1]
-            elif found is not None and not arcs(token[i]):
-                end = i + 1  # an ignorable behind a leaf belongs to it
+            if "" in node:  # an ignorable behind a leaf stays there and belongs to it
+                end, found = i + 1, node[""][1]
         return end, found
 
     def canonical(self, token: str) -> str | None:
@@ -190,18 +191,19 @@ class Canonicalizer:
         """A word as a whole."""
         out = self.seen.get(tok)
         if out is None:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
             out = self.trie.canonical(tok)
             if out is None:
                 out = self._table(tok)
             else:
                 self.settled["trie"] += 1
-            self.seen[tok] = out
+            self._remember(tok, out)
         return out
 
     def ideographs(self, run: str) -> str:
         """A run of ideographs by longest match; what reaches no leaf goes by the table, one character at a time."""
+        known = self.seen.get(run)
+        if known is not None:
+            return known
         out, at = [], 0
         while at < len(run):
             end, spelling = self.trie.walk(run, at)
@@ -211,7 +213,14 @@ class Canonicalizer:
                 self.settled["trie"] += 1
             out.append(spelling)
             at = end
-        return "".join(out)
+        return self._remember(run, "".join(out))
+
+    def _remember(self, tok: str, out: str) -> str:
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        if len(tok) <= MAX_TOKEN:
+            self.seen[tok] = out
+        return out
 
     def text(self, t: str | None) -> str | None:
         if t is None or _PLAIN.fullmatch(t):
@@ -219,7 +228,7 @@ class Canonicalizer:
         out = []
         for m in _TOKEN.finditer(_CONTROL.sub("\n", t)):
             kind = m.lastgroup
-            out.append(self.ideographs(m.group()) if kind == "han" else self.token(m.group()) if kind else by_table(m.group()))
+            out.append(self.ideographs(m.group()) if kind == "han" else self.token(m.group()) if kind else _sign(m.group()))
         # marks and letters that compose across token borders
         return unicodedata.normalize("NFC", "".join(out))
 
