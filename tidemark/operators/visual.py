@@ -55,25 +55,24 @@ def components(links: DataFrame, window: str, nodes: DataFrame, h: str) -> DataF
     return n.join(joined, [window, "node"], "left").select(window, "node", F.coalesce("root", "node").alias("root"))
 
 
-def components_global(links: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components_global(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root): components of any graph by propagating the least label over edges, with pointer jumping.
 
     links: (a, b) strings. Each round is written to the shared folder, so lineage stays short and executors may be
-    lost; rounds grow with the logarithm of the longest chain.
+    lost; rounds grow with the logarithm of the longest chain, and go on until no label moves.
     """
     from tidemark.session import materialize
 
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = materialize(nodes.select(F.col("node"), F.col("node").alias("root")).distinct(), "labels")
-    for _ in range(most_rounds):
+    while True:
         least = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = label.join(least.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("to"))
         jump = step.join(label.select(F.col("node").alias("to"), F.col("root").alias("further")), "to", "left")
         new = materialize(jump.select("node", F.least("to", F.coalesce("further", "to")).alias("root"), (F.col("root") != F.least("to", F.coalesce("further", "to"))).alias("moved")), "labels")
         label = new.select("node", "root")
         if not new.where("moved").limit(1).count():
-            break
-    return label
+            return label
 
 
 def repetition(df: DataFrame, window: str, h: str, most: int = MOST_BITS) -> DataFrame:
