@@ -6,43 +6,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import neardup
+from tidemark.operators.visual import components_global
 from tidemark.session import materialize
 from tidemark.sources.tables import table
 
 THRESHOLD = 0.6
 LEAST_POINTS = 20
+#: Posts of one text that are paired in one block; hot texts have as many blocks as they need, on both sides of a pair.
+BLOCK = 2_000
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(post_id, txt, rep): posts that are long enough; rep numbers the distinct texts."""
-    posts = table(spark, sf_dir, "merged_post").select("post_id", F.col("text").alias("txt")).where(F.col("post_id").isNotNull() & (F.char_length("txt") >= LEAST_POINTS)).distinct()
-    # a text is named by its smallest post id, so the name doesn't depend on how the job is cut into tasks
-    first = posts.groupBy(F.unhex(F.sha2("txt", 256)).alias("h")).agg(F.min("post_id").alias("rep"))
-    return posts.withColumn("h", F.unhex(F.sha2("txt", 256))).join(first, "h").select("post_id", "txt", "rep")
+    return table(spark, sf_dir, "merged_post").select("post_id", F.col("text").alias("txt")).where(F.col("post_id").isNotNull() & (F.char_length("txt") >= LEAST_POINTS)).withColumn("h", neardup.name_of("txt"))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    posts = materialize(_posts(spark, sf_dir), "posts")
-    texts = posts.where("post_id = rep").select("rep", "txt").withColumn("n", F.xxhash64("rep"))
-    pairs = neardup.near_pairs(texts, "n", "txt", THRESHOLD)
-    names = texts.select("n", "rep")
-    named = pairs.join(names.withColumnsRenamed({"n": "a", "rep": "rep_a"}), "a").join(names.withColumnsRenamed({"n": "b", "rep": "rep_b"}), "b")
-    return posts.select("post_id", "rep"), named.select("rep_a", "rep_b", "similarity")
+    """(post_id, h) of the posts that are long enough, and (a, b, similarity) of different texts, named by digests h."""
+    posts = _posts(spark, sf_dir)
+    texts = materialize(posts.groupBy("h").agg(F.first("txt").alias("txt")), "texts")
+    return materialize(posts.select("post_id", "h").distinct(), "posts"), materialize(neardup.near_pairs(texts, "h", "txt", THRESHOLD), "links")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of posts whose texts share at least 0.6 of their 3-code-point substrings; identical texts count."""
+    """Pairs of posts whose texts share at least 0.6 of their 3-code-point substrings; identical texts count.
+
+    A text's posts are cut into blocks by their number, and each pair of blocks of two linked texts is joined by itself, so
+    neither side of a hot text stays in one task; texts of a few posts, nearly all, have one block and are not copied.
+    """
     posts, links = _links(spark, sf_dir)
-    links = links.select("rep_a", "rep_b")
-    # copies: every post of a text with every other of the same text and of each similar text; hot texts are salted
-    copies = posts.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"))
-    salt = 16
-    a = posts.select(F.col("post_id").alias("p"), F.col("rep").alias("rep_a"), F.pmod(F.xxhash64("post_id"), F.lit(salt)).alias("s"))
-    b = posts.select(F.col("post_id").alias("q"), F.col("rep").alias("rep_b"))
-    sides = links.unionByName(copies).withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
-    out = sides.join(a, ["rep_a", "s"]).join(b, "rep_b").where((F.col("p") != F.col("q")) & ((F.col("rep_a") != F.col("rep_b")) | (F.col("p") < F.col("q"))))
+    sizes = posts.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    pairs = links.select("a", "b").unionByName(sizes.where("n > 1").select(F.col("h").alias("a"), F.col("h").alias("b")))
+    hot = materialize(sizes.select("h", F.ceil(F.col("n") / BLOCK).alias("k")).where("k > 1"), "hot")  # one text in BLOCK posts at most
+    k = F.coalesce("k", F.lit(1).cast("bigint"))
+    blocked = posts.join(hot, "h", "left").select("post_id", "h", F.pmod(F.xxhash64("post_id"), k).alias("s"))
+    for side in ("a", "b"):
+        block = F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias(f"s_{side}")
+        pairs = pairs.join(hot.withColumnRenamed("h", side), side, "left").select(*pairs.columns, block)
+    left, right = (blocked.select(F.col("post_id").alias(p), F.col("h").alias(side), F.col("s").alias(f"s_{side}")) for p, side in (("p", "a"), ("q", "b")))
+    out = pairs.join(left, ["a", "s_a"]).join(right, ["b", "s_b"]).where((F.col("a") != F.col("b")) & (F.col("p") != F.col("q")) | (F.col("a") == F.col("b")) & (F.col("p") < F.col("q")))
     return out.select(F.least("p", "q").alias("post_id_a"), F.greatest("p", "q").alias("post_id_b"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each post that is long enough: its group of near-duplicates, named by the smallest post id in it.
+
+    Groups are the connected components of the links between different texts, with all copies of each; n_links is the
+    number of different texts that the post's text is linked with, n_copies the number of posts of the very same text.
+    """
+    posts, links = _links(spark, sf_dir)
+    edges = links.select(F.hex("a").alias("a"), F.hex("b").alias("b"))
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = components_global(edges, ends.distinct()).join(degree, "node").select(F.unhex("node").alias("h"), "root", "n_links")
+    sizes = posts.groupBy("h").agg(F.count(F.lit(1)).alias("n_copies"), F.min("post_id").alias("first"))
+    named = sizes.join(roots, "h", "left").withColumn("root", F.coalesce("root", F.hex("h")))
+    least = named.groupBy("root").agg(F.min("first").alias("group_id"))
+    texts = named.join(least, "root").select("h", "group_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), "n_copies")
+    return posts.join(texts, "h").select("post_id", "group_id", "n_links", "n_copies")
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
 ORACLES: dict[str, str] = {}
