@@ -7,11 +7,11 @@ values, one order for each, and cut where the common prefix ends; regions that a
 A pair stays together if it agrees in any of the remaining values, so recall hardly falls with depth.
 
 Exactness. Candidates are compared by sketches of BITS one-bit min-wise values first, with a margin of several standard
-deviations, then by the exact similarity of their shingle sets; only true pairs come out. A region that is dense at full
+deviations, the first of them before the others, then by the exact similarity of their shingle sets; only true pairs come out. A region that is dense at full
 depth is compared whole, in blocks if it is hot: nothing is capped.
 
 Scale. Exact copies are collapsed first, so a text that a third of all rows share is one text here; texts are named by 128
-bits of a digest. What is shuffled is one row of 80 bytes for each tree, once, and the texts of candidates. A region that a
+bits of a digest. What is shuffled is one row of about 100 bytes for each tree, once, and the texts of candidates. A region that a
 large share of all texts falls into is found beforehand by counting in a sample; its rows are spread over the orders of the
 next depth, and over pairs of blocks at full depth, before they are shuffled. The sample only decides where a region is
 compared, never which pairs are. Nothing is gathered for the driver.
@@ -34,7 +34,9 @@ TREES = 10
 #: Values of a label; regions are opened at one, the deepest agree in three.
 VALUES, DEEPEST = 4, 3
 #: One-bit values of a sketch.
-BITS = 384
+BITS = 512
+#: Of these, the first ones, by which most pairs are told apart.
+FIRST_BITS = 128
 #: Texts of a region that are compared without descending further; at each depth GROWTH times as many.
 REGION, GROWTH = 512, 8
 #: Texts of a region, by estimate, from which it is spread before the shuffle, and the share of texts that is counted for it.
@@ -127,7 +129,7 @@ def most_differing(threshold: float, bits: int) -> int:
 class _Region:
     """Texts of one region: sketches as words of 64 bits, remaining values, and the pairs that were found."""
 
-    def __init__(self, sketch: np.ndarray, values: np.ndarray, most: int, region: int):
+    def __init__(self, sketch: np.ndarray, values: np.ndarray, most: tuple[int, int], region: int):
         self.sketch, self.values, self.most, self.region = sketch, values, most, region
         self.found: list[np.ndarray] = []
 
@@ -135,22 +137,21 @@ class _Region:
         """All pairs of x, or those between x and y."""
         whole = y is None
         y = x if whole else y
-        n = len(self.sketch)
-        if whole and len(x) == 2:
-            if int(np.bitwise_count(self.sketch[x[0]] ^ self.sketch[x[1]]).sum()) <= self.most:
-                self.found.append(np.array([min(x) * n + max(x)]))
-            return
-        step = max(1, (1 << 20) // max(1, len(y)))
+        n, first, (few, most) = len(self.sketch), FIRST_BITS // 64, self.most
+        step = max(1, (1 << 18) // max(1, len(y)))
         for lo in range(0, len(x), step):
             left, right = x[lo : lo + step], y[lo:] if whole else y
-            differ = np.zeros((len(left), len(right)), np.uint16)
-            for w in range(self.sketch.shape[1]):
+            differ = np.zeros((len(left), len(right)), np.uint8)
+            for w in range(min(first, self.sketch.shape[1])):
                 differ += np.bitwise_count(self.sketch[left, w][:, None] ^ self.sketch[right, w][None, :])
-            i, j = np.nonzero(differ <= self.most)
+            i, j = np.nonzero(differ <= few)
             i, j = left[i], right[j]
-            ok = i != j
-            i, j = i[ok], j[ok]
-            self.found.append(np.minimum(i, j) * n + np.maximum(i, j))
+            if whole:
+                i, j = i[i != j], j[i != j]
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                ok = np.bitwise_count(self.sketch[p] ^ self.sketch[q]).sum(axis=1) <= most
+                self.found.append(np.minimum(p[ok], q[ok]) * n + np.maximum(p[ok], q[ok]))
 
     def descend(self, x: np.ndarray, used: int, depth: int) -> None:
         """x agrees in `depth` values; dense regions are sorted by each remaining value and cut where the prefix ends."""
@@ -243,7 +244,7 @@ def _spread(rows: DataFrame, some: DataFrame, hot: int, sampled: float) -> DataF
     return rows if done is None else done.unionByName(rows.select(done.columns))
 
 
-def _compare(most: int, region: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare(most: tuple[int, int], region: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Partitions come sorted by region; only the region at the end of a batch waits for the next batch."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -316,7 +317,7 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float, shingle: Ca
     few = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(sampled * (1 << 20))) if sampled < 1 else texts
     rows = _spread(_signed(texts, shingle, trees, bits), _signed(few, shingle, trees, bits), hot, sampled)
     order = rows.repartition("r").sortWithinPartitions("r", "id")
-    candidates = order.mapInArrow(_compare(most_differing(threshold, bits), region), "a binary, b binary").distinct()
+    candidates = order.mapInArrow(_compare((most_differing(threshold, min(FIRST_BITS, bits)), most_differing(threshold, bits)), region), "a binary, b binary").distinct()
     both = candidates.join(texts.withColumnsRenamed({"id": "a", "txt": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "txt": "tb"}), "b")
 
     @F.pandas_udf(T.DoubleType())
