@@ -9,24 +9,28 @@ between (memory or RocksDB) is the session's setting.
 Scale. An entity may hold a third of all rows: the join key is the entity with a block of time, and a right row goes
 to the one or two blocks that its tolerance reaches. Nothing is gathered per entity.
 
-Replay of a finite table. Its rows are stored out of order, so it is cut into slices of event time that are appended
-to the stream's source in order, each a micro-batch: no row is behind the watermark and none is dropped, while the
-state holds one slice and a horizon. A last marker far in the future moves the watermark past every horizon.
+Replay of a finite table. Its rows are stored out of order, so one job cuts them into slices of event time by range, a
+file for each, and a single stream reads one file in each micro-batch, in order: no row is behind the watermark and none
+is dropped, while the state holds one slice and a horizon. A slice has about SLICE_ROWS rows whatever span of time that
+is; only rows of one and the same instant can't be cut. A last marker far in the future moves the watermark past every
+horizon. The stream runs in a session of its own, whose number of state partitions follows the size of a slice.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import clock
 from tidemark.session import shared_dir
 
 #: Rows of both sides in a slice of the replay: bounds the state that the cluster holds at a time.
 SLICE_ROWS = 4_000_000
+#: Rows of a slice for each partition of the state.
+STATE_ROWS = 100_000
 _END = "__end__"
 
 
@@ -49,20 +53,29 @@ def nearest_stream(left: DataFrame, right: DataFrame, tolerance_s: int, lateness
     return best.select(F.col("l_entity").alias("entity"), F.col("l_id").alias("left_id"), F.col("best.i").alias("right_id"), (F.col("best.d") / 1_000_000).alias("distance_s"))
 
 
-def _slice_bounds(df: DataFrame, slice_rows: int) -> list[int]:
-    """Borders in microseconds that cut the event times into at least two slices of about slice_rows rows.
+def _in_order(spark: SparkSession, staged: str, marker: str, source: str) -> None:
+    """Move the files of `staged`, in order of their names, then those of `marker`, to `source`, each newer than the one before.
 
-    Read from counts by day: one aggregation, a row for each day of the data's time range.
+    A stream reads files by their time of change. Stores that keep the time of a moved file let it be set, others give a new one.
     """
-    days = df.groupBy(F.floor(F.unix_micros("at") / 86_400_000_000).alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy("day").collect()
-    rows = min(slice_rows, max(1, sum(r["n"] for r in days) // 2))
-    bounds, size = [], 0
-    for r in days:
-        if size >= rows:
-            bounds.append(r["day"] * 86_400_000_000)
-            size = 0
-        size += r["n"]
-    return bounds
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(conf)
+    fs.mkdirs(path(source))
+    names = [(folder, f.getPath().getName()) for folder in (staged, marker) for f in sorted(fs.listStatus(path(folder)), key=lambda f: f.getPath().getName()) if f.getPath().getName().endswith(".parquet")]
+    begin, last = int(time.time()) - len(names) - 10, -1
+    for i, (folder, name) in enumerate(names):
+        target = path(f"{source}/{i:06}.parquet")
+        if not fs.rename(path(f"{folder}/{name}"), target):
+            raise OSError(f"cannot move {folder}/{name}")
+        fs.setTimes(target, (begin + i) * 1000, -1)
+        changed = fs.getFileStatus(target).getModificationTime()
+        while changed <= last:  # a store with its own times that are too coarse: copy until they differ
+            time.sleep(1)
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, path(f"{source}/_{i:06}"), True, conf)
+            fs.rename(path(f"{source}/_{i:06}"), target)
+            changed = fs.getFileStatus(target).getModificationTime()
+        last = changed
 
 
 def nearest_join(spark: SparkSession, left: DataFrame, right: DataFrame, tolerance_s: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -75,27 +88,24 @@ def nearest_join(spark: SparkSession, left: DataFrame, right: DataFrame, toleran
     both = left.select(F.lit(0).alias("side"), F.col("entity").cast("string").alias("entity"), F.col("id").cast("bigint").alias("id"), "at").unionByName(right.select(F.lit(1).alias("side"), F.col("entity").cast("string").alias("entity"), F.col("id").cast("bigint").alias("id"), "at"))
     both = both.dropna()
     base = shared_dir(spark, "nearest")
-    source, sink = f"{base}/source", f"{base}/result"
-    schema = T.StructType([T.StructField("side", T.IntegerType()), T.StructField("entity", T.StringType()), T.StructField("id", T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("slice", T.IntegerType())])
-    bounds = _slice_bounds(both, slice_rows)
-    which = F.lit(0)
-    for b in bounds:
-        which = which + F.when(F.unix_micros("at") >= b, 1).otherwise(0)
-    staged = both.distinct().withColumn("slice", which.cast("int"))
-    # one write, a folder for each slice; the stream reads them in order
-    staged.repartition(F.col("slice"), F.pmod(F.xxhash64("entity", "id"), F.lit(8))).write.partitionBy("slice").parquet(f"{base}/staged")
+    sink = f"{base}/result"
+    schema = "side int, entity string, id bigint, at timestamp"
+    n = both.count()
+    # a file for each slice, in order of event time; repeated rows don't matter to the smallest partner
+    both.repartitionByRange(max(1, -(-n // slice_rows)), "at").write.parquet(f"{base}/staged")
     far = F.timestamp_micros(F.lit(253_000_000_000_000_000))
-    result = T.StructType([T.StructField("entity", T.StringType()), T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType()), T.StructField("distance_s", T.DoubleType())])
-    for k in range(len(bounds) + 2):
-        if k <= len(bounds):
-            part = spark.read.schema(schema).parquet(f"{base}/staged").where(F.col("slice") == k)
-        else:
-            part = spark.range(2).select(F.col("id").cast("int").alias("side"), F.lit(_END).alias("entity"), F.col("id"), far.alias("at"), F.lit(k).alias("slice"))
-        part.select("side", "entity", "id", "at", F.lit(k).alias("slice")).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        nearest = nearest_stream(stream.where("side = 0").select("entity", "id", "at"), stream.where("side = 1").select("entity", "id", "at"), tolerance_s, lateness_s=0)
-        q = nearest.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).queryName(f"nearest-{uuid.uuid4().hex}").start()
-        q.awaitTermination()
+    spark.range(2).select(F.col("id").cast("int").alias("side"), F.lit(_END).alias("entity"), F.col("id"), far.alias("at")).coalesce(1).write.parquet(f"{base}/marker")
+    _in_order(spark, f"{base}/staged", f"{base}/marker", f"{base}/source")
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
+        if (value := spark.conf.get(key, None)) is not None:
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(max(2, -(-min(n, slice_rows) // STATE_ROWS))))
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
+    nearest = nearest_stream(stream.where("side = 0").select("entity", "id", "at"), stream.where("side = 1").select("entity", "id", "at"), tolerance_s, lateness_s=0)
+    q = nearest.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).queryName(f"nearest-{uuid.uuid4().hex}").start()
+    q.awaitTermination()
+    result = "entity string, left_id bigint, right_id bigint, distance_s double"
     return spark.read.schema(result).parquet(sink).where(F.col("entity") != _END)
 
 
