@@ -75,25 +75,20 @@ def _merge(min_similarity: float, max_gap: float):
     """Agglomerates the items of one group of applyInPandas; the group is one block, or the edge runs of one entity."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_s", "first_key", "pos"], kind="stable").reset_index(drop=True)
-        block, pos = pdf["block"].tolist(), pdf["pos"].tolist()
+        pdf = pdf.sort_values(["start_s", "first_key", "pos"], kind="stable")
+        col = {c: pdf[c].tolist() for c in ("block", "pos", "label", "first_key", "last_key", "start_s", "end_s", "n", "features")}
+        block, pos, weight, vec = col["block"], col["pos"], col["n"], [list(v) for v in col["features"]]
         # inside a block, only items that followed each other there are neighbours
-        linked = [block[i] != block[i + 1] or pos[i + 1] - pos[i] == 1 for i in range(len(pdf) - 1)] + [False]
-        vec = [list(v) for v in pdf["features"]]
-        run = agglomerate(pdf["label"].tolist(), vec, pdf["start_s"].tolist(), pdf["end_s"].tolist(), pdf["n"].tolist(), linked, min_similarity, max_gap)
-        weight = pdf["n"].tolist()
-        rows: list[list] = []
-        for i, r in enumerate(run):
-            if r == i:
-                rows.append([pdf.at[i, "entity"], block[i], pdf.at[i, "label"], pdf.at[i, "first_key"], pdf.at[i, "last_key"], pdf.at[i, "start_s"], pdf.at[i, "end_s"], weight[i], vec[i]])
-            else:
-                t = rows[-1]
-                t[8] = [(a * t[7] + b * weight[i]) / (t[7] + weight[i]) for a, b in zip(t[8], vec[i])]
-                t[4], t[6], t[7] = pdf.at[i, "last_key"], max(t[6], pdf.at[i, "end_s"]), t[7] + weight[i]
-        out = pd.DataFrame(rows, columns=["entity", "block", "label", "first_key", "last_key", "start_s", "end_s", "n", "features"])
-        out["pos"] = range(len(out))
-        out["edge"] = (out["pos"] == 0) | (out["pos"] == len(out) - 1)
-        return out
+        linked = [block[i] != block[i + 1] or pos[i + 1] - pos[i] == 1 for i in range(len(pos) - 1)] + [False]
+        run = agglomerate(col["label"], vec, col["start_s"], col["end_s"], weight, linked, min_similarity, max_gap)
+        head = [i for i, r in enumerate(run) if r == i]
+        tail = [b - 1 for b in head[1:]] + [len(run) - 1] if head else []
+        out = {"entity": pdf["entity"].iloc[0] if len(pdf) else None, "block": [block[i] for i in head], "label": [col["label"][i] for i in head], "first_key": [col["first_key"][i] for i in head], "last_key": [col["last_key"][i] for i in tail]}
+        out |= {"start_s": [col["start_s"][i] for i in head], "end_s": [max(col["end_s"][a : b + 1]) for a, b in zip(head, tail)], "n": [sum(weight[a : b + 1]) for a, b in zip(head, tail)]}
+        out["features"] = [[sum(w * v[k] for w, v in zip(weight[a : b + 1], vec[a : b + 1])) / sum(weight[a : b + 1]) for k in range(len(vec[a]))] for a, b in zip(head, tail)]
+        out["pos"] = range(len(head))
+        out["edge"] = [k in (0, len(head) - 1) for k in range(len(head))]
+        return pd.DataFrame(out)
 
     return one
 
