@@ -18,7 +18,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,26 +74,72 @@ def agglomerate(label: list, vec: list[list[float]], start: list[float], end: li
     return out
 
 
-def _merge(min_similarity: float, max_gap: float):
-    """Agglomerates the items of one group of applyInPandas; the group is one block, or the edge runs of one entity."""
+_COLUMNS = ("block", "pos", "label", "first_key", "last_key", "start_s", "end_s", "n", "features")
+
+
+def _merged(col: dict[str, list], min_similarity: float, max_gap: float, whole: bool) -> dict[str, list]:
+    """The runs of one group of items in order of time; whole: all neighbours are linked, else those of a block only if
+    they followed each other there."""
+    block, pos, weight, vec = col["block"], col["pos"], col["n"], [list(v) for v in col["features"]]
+    linked = [whole or block[i] != block[i + 1] or pos[i + 1] - pos[i] == 1 for i in range(len(pos) - 1)] + [False]
+    run = agglomerate(col["label"], vec, col["start_s"], col["end_s"], weight, linked, min_similarity, max_gap)
+    head = [i for i, r in enumerate(run) if r == i]
+    tail = [b - 1 for b in head[1:]] + [len(run) - 1]
+    out = {c: [col[c][i] for i in head] for c in ("label", "first_key", "start_s")}
+    out["last_key"] = [col["last_key"][i] for i in tail]
+    out["end_s"] = [max(col["end_s"][a : b + 1]) for a, b in zip(head, tail)]
+    out["n"] = [sum(weight[a : b + 1]) for a, b in zip(head, tail)]
+    out["features"] = [[sum(w * v[k] for w, v in zip(weight[a : b + 1], vec[a : b + 1])) / sum(weight[a : b + 1]) for k in range(len(vec[a]))] for a, b in zip(head, tail)]
+    out["pos"] = list(range(len(head)))
+    out["edge"] = [k in (0, len(head) - 1) for k in range(len(head))]
+    return out
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_s", "first_key", "pos"], kind="stable")
-        col = {c: pdf[c].tolist() for c in ("block", "pos", "label", "first_key", "last_key", "start_s", "end_s", "n", "features")}
-        block, pos, weight, vec = col["block"], col["pos"], col["n"], [list(v) for v in col["features"]]
-        # inside a block, only items that followed each other there are neighbours
-        linked = [block[i] != block[i + 1] or pos[i + 1] - pos[i] == 1 for i in range(len(pos) - 1)] + [False]
-        run = agglomerate(col["label"], vec, col["start_s"], col["end_s"], weight, linked, min_similarity, max_gap)
-        head = [i for i, r in enumerate(run) if r == i]
-        tail = [b - 1 for b in head[1:]] + [len(run) - 1] if head else []
-        out = {"entity": pdf["entity"].iloc[0] if len(pdf) else None, "block": [block[i] for i in head], "label": [col["label"][i] for i in head], "first_key": [col["first_key"][i] for i in head], "last_key": [col["last_key"][i] for i in tail]}
-        out |= {"start_s": [col["start_s"][i] for i in head], "end_s": [max(col["end_s"][a : b + 1]) for a, b in zip(head, tail)], "n": [sum(weight[a : b + 1]) for a, b in zip(head, tail)]}
-        out["features"] = [[sum(w * v[k] for w, v in zip(weight[a : b + 1], vec[a : b + 1])) / sum(weight[a : b + 1]) for k in range(len(vec[a]))] for a, b in zip(head, tail)]
-        out["pos"] = range(len(head))
-        out["edge"] = [k in (0, len(head) - 1) for k in range(len(head))]
-        return pd.DataFrame(out)
 
-    return one
+def _by_group(df: DataFrame, keys: list[str], schema: str, min_similarity: float, max_gap: float) -> DataFrame:
+    """The runs of each group, as a pass over partitions sorted by group and time: no call and no frame for each group."""
+    whole = "own" in keys
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wait: list[pd.DataFrame] = []
+
+        def done(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            if not len(pdf):
+                return
+            cuts = [*np.flatnonzero(_changes(pdf)), len(pdf)]
+            lists = {c: pdf[c].tolist() for c in (*_COLUMNS, *keys)}
+            out: dict[str, list] = defaultdict(list)
+            for a, b in zip(cuts, cuts[1:]):
+                runs = _merged({c: lists[c][a:b] for c in _COLUMNS}, min_similarity, max_gap, whole)
+                for c, v in runs.items():
+                    out[c] += v
+                out["entity"] += [lists["entity"][a]] * len(runs["n"])
+                out["block"] += [lists[keys[-1]][a] if whole else 0] * len(runs["n"])
+            yield pd.DataFrame(out)
+
+        def _changes(pdf: pd.DataFrame) -> np.ndarray:
+            change = np.zeros(len(pdf), bool)
+            change[0] = True
+            for k in keys:
+                v = pdf[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            return change
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = int(np.flatnonzero(_changes(pdf))[-1])
+            if last == 0 and wait and all(wait[-1][k].iloc[-1] == pdf[k].iloc[0] for k in keys):
+                wait.append(pdf)  # one group goes on
+                continue
+            wait.append(pdf.iloc[:last])
+            yield from done(wait)
+            wait = [pdf.iloc[last:]]
+        if wait:
+            yield from done(wait)
+
+    order = ["start_s", "first_key", "pos"]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def collapse_runs(df: DataFrame, entity: str, time_s: Column, key: str, label: Column, max_gap: float, min_similarity: float = 1.0, features: list[Column] | None = None, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
@@ -117,19 +166,11 @@ def collapse_runs(df: DataFrame, entity: str, time_s: Column, key: str, label: C
         begin = single.withColumn("pos", F.row_number().over(line).cast("bigint")).withColumn("begin", F.when(~F.coalesce(joined, F.lit(False)), F.col("start_s")))
         begin = begin.withColumn("begin", F.last("begin", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
         single = begin.withColumn("own", F.floor(F.col("begin") / block_seconds)).drop("begin")
-    merge = _merge(min_similarity, max_gap)
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf["own"].iloc[0]
-        out = merge(pdf.assign(block=range(len(pdf))))
-        out["block"] = b
-        return out
-
+    merged = _by_group(single, ["entity", "own"], schema, min_similarity, max_gap)
     if fs:
-        return _shown(single.groupBy("entity", "own").applyInPandas(first, schema))
-    runs = materialize(single.groupBy("entity", "own").applyInPandas(first, schema), "runs")
-    whole = runs.where("edge").groupBy("entity").applyInPandas(merge, schema)
-    return _shown(whole.unionByName(runs.where("not edge")))
+        return _shown(merged)
+    runs = materialize(merged, "runs")
+    return _shown(_by_group(runs.where("edge"), ["entity"], schema, min_similarity, max_gap).unionByName(runs.where("not edge")))
 
 
 def _shown(out: DataFrame) -> DataFrame:
