@@ -4,29 +4,34 @@ Everything runs in the JVM: a chain of regular expressions picks the parts of a
 civil calendar gives its wall time in seconds, and `to_utc_timestamp` applies the offset history of a zone.
 Nothing depends on the session's time zone.
 
-Zones. A value with an offset, a zone name or an abbreviation carries its own. Other values are wall time
-of their writer group (a table field and its declared zone). Where a group declares a usable zone, that zone
-holds. Where it declares none, `estimate_zones` reads all its local values against the ingestion times: for
-each candidate offset history it counts the values that would lie after their ingestion (violations) and
-takes the history with the fewest; the default history wins unless another has clearly fewer.
+Zones. A value with an offset, a zone name or an abbreviation carries its own. Other values are wall time of their
+writer group (the writer columns and the declared zone). Where a group declares a usable zone, that zone holds. Where it
+declares none, `estimate_zones` aligns all its local values with the ingestion times: for each candidate offset history it
+counts the values that would lie after their ingestion (violations); the history with the fewest wins, among equals the
+one whose freshest value lies closest to its ingestion. A group of fewer than LEAST_VALUES values has the default.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import zoneinfo
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 DEFAULT_ZONE = "Asia/Shanghai"
 
 #: Offset histories tried for groups without a declared zone.
 CANDIDATE_ZONES = ("Asia/Shanghai", "Asia/Tokyo", "Europe/Berlin", "Europe/London", "America/New_York", "Australia/Sydney", "UTC")
 
-#: Another history than the default is taken only where the default breaks the order of events for more than
-#: this share of a group's values and the other for less than half of that share.
-MAX_VIOLATIONS = 0.05
+#: Local values that a group needs to be estimated, and seconds by which clocks of writers may be ahead of ingestion.
+LEAST_VALUES, SKEW = 200, 60
+
+#: Estimated groups that are broadcast to the values, at most; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -185,31 +190,38 @@ def _at(wall: Column, tz: Column | str) -> Column:
     return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall), tz))
 
 
-def estimate_zones(parsed: DataFrame, group: str, crawled: str, candidates: tuple[str, ...] = CANDIDATE_ZONES, default: str = DEFAULT_ZONE) -> DataFrame:
-    """One row (group, zone): the offset history with the fewest values after their ingestion.
+def estimate_zones(parsed: DataFrame, group: list[str], crawled: str, candidates: tuple[str, ...] = CANDIDATE_ZONES, default: str = DEFAULT_ZONE) -> DataFrame:
+    """(group, n, violations, _estimated): the offset history that aligns a group's local values with their ingestion.
 
     Reads every value of the group that carries no zone of its own, in one aggregation with map-side combine; the
-    result has as many rows as there are writer groups. Fewer violations win; among equals the default, then the
-    history with the shortest mean delay. Groups without such values get the default.
+    result has as many rows as there are writer groups. Fewest violations win, then the smallest delay of the freshest
+    value, then the default. Groups of fewer than LEAST_VALUES local values have the default.
     """
     local = parsed.where(F.col("_wall").isNotNull() & ~F.col("_zoned") & F.col(crawled).isNotNull() & ~F.col("_form").isin("day_word", "no_year"))
     lag = {z: F.unix_seconds(F.col(crawled)) - _at(F.col("_wall"), z) for z in candidates}
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, z in enumerate(candidates):
-        aggs += [F.count_if(lag[z] < 0).alias(f"v{i}"), F.avg(lag[z]).alias(f"m{i}")]
-    stats = local.groupBy(group).agg(*aggs)
-    d = candidates.index(default)
-    best = F.array_min(F.array(*(F.struct(F.col(f"v{i}").alias("v"), F.lit(int(i != d)).alias("o"), F.abs(F.col(f"m{i}")).alias("m"), F.lit(z).alias("z")) for i, z in enumerate(candidates))))
-    switch = (F.col(f"v{d}") > MAX_VIOLATIONS * F.col("n")) & (best["v"] < MAX_VIOLATIONS / 2 * F.col("n"))
-    return stats.select(group, F.when(switch, best["z"]).otherwise(F.lit(default)).alias("_estimated"))
+        aggs += [F.count_if(lag[z] < -SKEW).alias(f"v{i}"), F.min(F.when(lag[z] >= -SKEW, lag[z])).alias(f"m{i}")]
+    stats = local.groupBy(*group).agg(*aggs)
+    rank = lambda i, z: F.struct(F.col(f"v{i}").alias("v"), F.coalesce(F.col(f"m{i}"), F.lit(1 << 62)).alias("m"), F.lit(int(z != default)).alias("o"), F.lit(z).alias("z"))
+    best = F.array_min(F.array(*(rank(i, z) for i, z in enumerate(candidates))))
+    return stats.select(*group, "n", best["v"].alias("violations"), F.when(F.col("n") >= LEAST_VALUES, best["z"]).otherwise(F.lit(default)).alias("_estimated"))
+
 
+def _group_columns(writer: Sequence[str], zone: str) -> list[Column]:
+    """The writer columns and the spelling of a zone, as the columns _g0, _g1 ... that identify a writer group."""
+    return [F.coalesce(F.col(f"_row.`{w}`").cast("string"), F.lit("")).alias(f"_g{i}") for i, w in enumerate(writer)] + [F.coalesce(F.col(zone), F.lit("")).alias(f"_g{len(writer)}")]
 
-def normalize(spark: SparkSession, df: DataFrame, value: str, zone: str = "client_tz", crawled: str = "crawled_at") -> DataFrame:
+
+def normalize(spark: SparkSession, df: DataFrame, value: str, zone: str = "client_tz", crawled: str = "crawled_at", writer: Sequence[str] = (), estimate: bool = True) -> DataFrame:
     """df with `utc_seconds` BIGINT (null where the value denotes no instant) and `is_standard` BOOLEAN.
 
-    Standard form is `YYYY-MM-DD HH:MM:SS` in ASCII under the default zone. Null values, null or unknown zones, blank
-    and very long texts, repeated rows and an empty table are all handled: a row in gives a row out, with null where
-    nothing can be read. Clashing names: existing columns utc_seconds and is_standard are replaced.
+    Standard form is `YYYY-MM-DD HH:MM:SS` in ASCII under the default zone. Values without zone of groups that declare
+    none are read in the estimated history of their group (the columns `writer` and the spelling of the zone), without
+    `estimate` in the default. With it, values are parsed once and written to the shared folder between the two passes.
+    Null values, null or unknown zones, blank and very long texts, repeated rows and an empty table are all handled: a row
+    in gives a row out, with null where nothing can be read. Clashing names: existing columns utc_seconds and is_standard
+    are replaced.
     """
     df = df.drop("utc_seconds", "is_standard")
     zones = known_zones()
@@ -217,12 +229,24 @@ def normalize(spark: SparkSession, df: DataFrame, value: str, zone: str = "clien
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
     df = df.select(row, F.col(value).alias("_value"), F.col(zone).alias("_zone"), F.col(crawled).alias("_crawled"))
     value, zone, crawled = "_value", "_zone", "_crawled"
-    declared = F.col(zone).isin(zones)
-    parsed = parse(df, value, zone, crawled).withColumn("_group", F.when(declared, F.col(zone)).otherwise(F.concat(F.lit("?"), F.coalesce(F.col(zone), F.lit("")))))
-    guessed = estimate_zones(parsed.where(F.col("_group").startswith("?")), "_group", crawled)
-    # one row for each spelling of an undeclared zone; the join is planned by its size, no hint
-    out = parsed.join(guessed, "_group", "left")
-    tz = F.when(declared, F.col(zone)).otherwise(F.coalesce(F.col("_estimated"), F.lit(DEFAULT_ZONE)))
+    declared = F.coalesce(F.col(zone).isin(zones), F.lit(False))
+    standard = F.coalesce(F.col(value).rlike(_STANDARD) & F.coalesce(F.col(zone) == DEFAULT_ZONE, F.lit(True)), F.lit(False))
+    parsed = parse(df, value, zone, crawled).withColumns({"_declared": declared, "_standard": standard})
+    if estimate:
+        group = _group_columns(writer, zone)
+        names = [f"_g{i}" for i in range(len(group))]
+        parsed = materialize(parsed.drop(value), "times")
+        undeclared = parsed.where("not _declared").select("*", *group)
+        guessed = materialize(estimate_zones(undeclared, names, crawled).where(F.col("_estimated") != DEFAULT_ZONE).select(*names, "_estimated"), "zones")
+        if n := guessed.count():  # groups of another history than the default: none in most tables
+            guessed = guessed.withColumn("_undeclared", F.lit(True))
+            out = parsed.select("*", *group, (~F.col("_declared")).alias("_undeclared"))
+            parsed = out.join(F.broadcast(guessed) if n <= BROADCAST_GROUPS else guessed, [*names, "_undeclared"], "left")
+        else:
+            parsed = parsed.withColumn("_estimated", F.lit(None).cast("string"))
+        tz = F.when(F.col("_declared"), F.col(zone)).otherwise(F.coalesce(F.col("_estimated"), F.lit(DEFAULT_ZONE)))
+    else:
+        tz = F.when(F.col("_declared"), F.col(zone)).otherwise(F.lit(DEFAULT_ZONE))
     abbr = F.create_map(*(F.lit(x) for k, v in abbreviations().items() for x in (k, v)))
     region = F.when(F.col("_region").isin(zones), F.col("_region"))
     by_abbr = F.when(F.col("_abbr").isNotNull(), F.coalesce(F.try_element_at(abbr, F.col("_abbr")), F.try_element_at(abbr, F.concat_ws("|", tz, F.col("_abbr")))))
@@ -233,6 +257,16 @@ def normalize(spark: SparkSession, df: DataFrame, value: str, zone: str = "clien
         .when(F.col("_abbr").isNotNull(), F.col("_wall") - by_abbr)
         .otherwise(_at(F.col("_wall"), tz))
     )
-    standard = F.col(value).rlike(_STANDARD) & F.coalesce(F.col(zone) == DEFAULT_ZONE, F.lit(True))
-    done = F.struct(utc.cast("bigint").alias("utc_seconds"), F.coalesce(standard, F.lit(False)).alias("is_standard"))
-    return out.select("_row.*", F.inline(F.array(done)))
+    done = F.struct(utc.cast("bigint").alias("utc_seconds"), F.col("_standard").alias("is_standard"))
+    return parsed.select("_row.*", F.inline(F.array(done)))
+
+
+def zone_estimates(df: DataFrame, value: str, zone: str, crawled: str, writer: Sequence[str] = ()) -> DataFrame:
+    """(writer columns, declared, n_local, violations, estimated): the zone that the values of each group speak for, read
+    blindly, whether the group declares one or not; a row for each group that has local values."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    df = df.select(row, F.col(value).alias("_value"), F.col(zone).alias("_zone"), F.col(crawled).alias("_crawled"))
+    group = _group_columns(writer, "_zone")
+    names = [f"_g{i}" for i in range(len(group))]
+    out = estimate_zones(parse(df, "_value", "_zone", "_crawled").select("*", *group), names, "_crawled")
+    return out.select(*(F.col(g).alias(w) for g, w in zip(names, writer)), F.nullif(F.col(names[-1]), F.lit("")).alias("declared"), F.col("n").alias("n_local"), "violations", F.col("_estimated").alias("estimated"))

@@ -11,6 +11,9 @@ from tidemark.sources.tables import table
 #: table, its id, its fields with time strings
 FIELDS = (("merged_comment", "comment_id", ("comment_created_at", "post_date")), ("merged_post", "post_id", ("created_at",)))
 
+#: A table's field has one kind of writer; the zone it declares completes the group.
+WRITER = ("table_name", "field_name")
+
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every time string of both tables: one row for each record and field, a table read once."""
@@ -25,13 +28,13 @@ def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field values that denote an instant and are not in standard form, with the instant in whole Unix seconds."""
     df = _long(spark, sf_dir).where(F.col("value").isNotNull())
-    out = timestamps.normalize(spark, df, "value")
+    out = timestamps.normalize(spark, df, "value", writer=WRITER)
     return out.where(F.col("utc_seconds").isNotNull() & ~F.col("is_standard")).select("table_name", "rec_id", "field_name", "utc_seconds").distinct()
 
 
 def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by table and field: values, instants read, values in standard form, extremes."""
-    out = timestamps.normalize(spark, _long(spark, sf_dir), "value")
+    out = timestamps.normalize(spark, _long(spark, sf_dir), "value", writer=WRITER)
     return out.groupBy("table_name", "field_name").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("value").alias("n_values"),
@@ -42,5 +45,10 @@ def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_fields": p4_fields}
+def p4_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone that each field's local values speak for, by declared zone, estimated without looking at that declaration."""
+    return timestamps.zone_estimates(_long(spark, sf_dir), "value", "client_tz", "crawled_at", WRITER)
+
+
+QUERIES = {"p4_found": p4_found, "p4_fields": p4_fields, "p4_zones": p4_zones}
 ORACLES: dict[str, str] = {}
