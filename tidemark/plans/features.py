@@ -10,7 +10,7 @@ from tidemark.operators import features as ft
 from tidemark.operators import text as tx
 from tidemark.operators import windows as wn
 from tidemark.operators.calendar import day_slot, is_holiday
-from tidemark.plans.common import COMMENTS, OFFICIAL, POSTS, SLOT, UNIFIED, WINDOWS, comments, official, posts, r, unified, windows
+from tidemark.plans.common import COMMENTS, OFFICIAL, OFFICIAL_COMMENTS, POSTS, SLOT, UNIFIED, WINDOWS, comments, official, posts, r, unified, windows
 from tidemark.sources.tables import table
 
 Q: dict = {}
@@ -45,9 +45,17 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query(f"WITH {POSTS} SELECT post_id, ts FROM posts")
+@query(f"SELECT DISTINCT post_id, {tx.PARSE_SQL.format('created_at')} AS ts FROM merged_post")
 def parse_post_date(spark: SparkSession, d: str) -> DataFrame:
-    return posts(spark, d).select("post_id", "ts")
+    """PF3: the three forms of the collectors alone; every other query reads all forms, see `posts`."""
+    return table(spark, d, "merged_post").select("post_id", tx.parse_date(F.col("created_at")).alias("ts")).distinct()
+
+
+@query(f"WITH {POSTS}, {COMMENTS} SELECT 'post' AS channel, count(*) AS n, count(ts) AS n_timed, min(ts) AS first_ts, max(ts) AS last_ts FROM posts UNION ALL SELECT 'comment', count(*), count(ts), min(ts), max(ts) FROM comments")
+def timed_share(spark: SparkSession, d: str) -> DataFrame:
+    """How many posts and comments have a time, and their range."""
+    n = [F.count(F.lit(1)).alias("n"), F.count("ts").alias("n_timed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
+    return unified(spark, d).groupBy("channel").agg(*n)
 
 
 @query(
@@ -128,10 +136,10 @@ def strict_strip(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).where("text IS NOT NULL").select("post_id", tx.strict(F.col("text")).alias("t"))
 
 
-@query(f"WITH {COMMENTS} SELECT comment_id, date_diff('day', official_ts, ts) AS days, CASE WHEN d IS NULL THEN NULL WHEN d = 0 THEN '当日' WHEN d BETWEEN 1 AND 3 THEN '1-3天' WHEN d BETWEEN 4 AND 7 THEN '4-7天' WHEN d BETWEEN 8 AND 15 THEN '8-15天' WHEN d BETWEEN 16 AND 30 THEN '16-30天' ELSE '30天以上' END AS label FROM (SELECT *, date_diff('day', official_ts, ts) AS d FROM comments)")
+@query(f"WITH {OFFICIAL_COMMENTS} SELECT comment_id, date_diff('day', official_ts, ts) AS days, CASE WHEN d IS NULL THEN NULL WHEN d = 0 THEN '当日' WHEN d BETWEEN 1 AND 3 THEN '1-3天' WHEN d BETWEEN 4 AND 7 THEN '4-7天' WHEN d BETWEEN 8 AND 15 THEN '8-15天' WHEN d BETWEEN 16 AND 30 THEN '16-30天' ELSE '30天以上' END AS label FROM (SELECT *, date_diff('day', official_ts, ts) AS d FROM comments)")
 def relative_day_bucket(spark: SparkSession, d: str) -> DataFrame:
     days = F.date_diff(F.col("ts").cast("date"), F.col("official_ts").cast("date"))
-    return comments(spark, d).select("comment_id", days.cast("bigint").alias("days"), tx.day_label(days).alias("label"))
+    return comments(spark, d, official=True).select("comment_id", days.cast("bigint").alias("days"), tx.day_label(days).alias("label"))
 
 
 def _feature_sql(c: str) -> str:
