@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from tidemark.functions import mathx
 from tidemark.operators import models as md
@@ -43,8 +44,8 @@ _DOCS = [("a", "Café café crème 砂水怀表 と カタカナ"), ("a", "naïv
 
 
 def _words(text):
-    """Words of two letters or more, of kana too, and pairs of ideographs."""
-    words = regex.findall(r"(?V1)[\p{Latin}\p{M}]{2,}|[\p{Hiragana}\p{Katakana}ー]{2,}|[[\p{L}\p{M}]--[\p{Latin}\p{Han}\p{Hiragana}\p{Katakana}ー]]{2,}", text.lower())
+    """Words of two letters or more of any scripts, of kana by themselves, and pairs of ideographs."""
+    words = regex.findall(r"(?V1)[\p{Hiragana}\p{Katakana}ー]{2,}|[[\p{L}\p{M}]--[\p{Han}\p{Hiragana}\p{Katakana}ー]]{2,}", text.lower())
     return words + [h[i : i + 2] for h in regex.findall(r"\p{Han}{2,}", text) for i in range(len(h) - 1)]
 
 
@@ -86,9 +87,9 @@ def test_t_cdf_of_many_values():
 def test_pages_and_counts_keep_every_row(spark, tmp_path):
     texts = [' "quoted" ', "<b>1 < 2 & 3 > 2</b>", "&lt;&amp;nbsp;", "it's", "line\n", '<div class="card-wrap" mid="9">', "  ", None]
     counts = ["12", " 7 ", "1.2e3", "1.2万", "转发", "1_0", None, "3.0"]
-    cols = "post_id text author_id author_name post_type source_post_id source_author_name image_urls video_cover_url created_at reposts_count".split()
+    cols = "post_id text author_id author_name post_type source_post_id source_author_name image_urls video_cover_url created_at client_tz reposts_count".split()
     rows = [{**dict.fromkeys(cols), "post_id": str(i), "text": t, "author_name": 'a"<&', "reposts_count": c} for i, (t, c) in enumerate(zip(texts, counts))]
-    spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"{c} string" for c in cols)).write.parquet(f"{tmp_path}/merged_post.parquet")
+    spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"{c} string" for c in cols)).withColumn("crawled_at", F.current_timestamp()).write.parquet(f"{tmp_path}/merged_post.parquet")
     got = {r["post_id"]: (r["author_name"], r["text"]) for r in models.html_card_extract(spark, str(tmp_path)).collect()}
     assert got == {r["post_id"]: (r["author_name"], (r["text"] or "").strip(" ") or None) for r in rows}
     got = {r["post_id"]: (r["reposts_count"], r["reposts"]) for r in features.counts_as_numbers(spark, str(tmp_path)).collect()}

@@ -110,10 +110,10 @@ def cut_repost(t: Column) -> Column:
 def tokens(t: Column, other_scripts: bool = False) -> Column:
     """Words of letters and pairs of ideographs as an array; digits and single characters are left out. Inside the JVM.
 
-    Letters are Latin and kana, with other_scripts those of every script.
+    Letters are Latin and kana, with other_scripts those of every script, whatever scripts a word mixes.
     """
-    other = r"|[\p{L}\p{M}&&[^\p{IsLatin}\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]{2,}" if other_scripts else ""
-    words = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{IsLatin}\p{M}]{2,}|[\p{IsHiragana}\p{IsKatakana}ー]{2,}" + other + ")"), F.lit(1))
+    letters = r"[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]{2,}" if other_scripts else r"[\p{IsLatin}\p{M}]{2,}"
+    words = F.regexp_extract_all(F.lower(t), F.lit(rf"({letters}|[\p{{IsHiragana}}\p{{IsKatakana}}ー]{{2,}})"), F.lit(1))
     runs = F.regexp_extract_all(t, F.lit(r"(\p{IsHan}{2,})"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
     return F.concat(words, pairs)

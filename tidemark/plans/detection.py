@@ -26,7 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-QUIET = ("2025-02-01 00:00:00", "2025-04-01 00:00:00")
 #: Share of each account's windows, from its first, that detection is calibrated on.
 QUIET_SHARE = 0.25
 T = dt.Thresholds(collective_rows=96, collective_least=32, drift_rows=288, drift_least=96, drift_lag=144, density=0.3, volatility_factor=6.0)
@@ -41,7 +40,7 @@ def _arr(cols):
     return F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in cols))
 
 
-_BASE = f"SELECT official_uid, quantile_cont(neg_ratio_post, 0.05) AS p5, quantile_cont(neg_ratio_post, 0.95) AS p95, stddev_pop(neg_ratio_post) AS sd, {', '.join(f'avg(coalesce({c}, 0)) AS m_{c}' for c in _POST + _COMMENT)} FROM w19 WHERE \"timestamp\" >= TIMESTAMP '{QUIET[0]}' AND \"timestamp\" < TIMESTAMP '{QUIET[1]}' GROUP BY 1"
+_BASE = f"SELECT official_uid, quantile_cont(neg_ratio_post, 0.05) AS p5, quantile_cont(neg_ratio_post, 0.95) AS p95, stddev_pop(neg_ratio_post) AS sd, {', '.join(f'avg(coalesce({c}, 0)) AS m_{c}' for c in _POST + _COMMENT)} FROM (SELECT *, percent_rank() OVER (PARTITION BY official_uid ORDER BY \"timestamp\") AS q FROM w19) WHERE q < {QUIET_SHARE} GROUP BY 1"
 
 
 def _prob_sql(v: str) -> str:
@@ -56,13 +55,13 @@ def _rank_sql(v: str) -> str:
     f"""WITH {WINDOWS}, base AS ({_BASE}), x AS (SELECT w.window_id, w.neg_ratio_post AS res, p5, p95, sd,
   [{', '.join(f'coalesce(w.{c}, 0.0)' for c in _POST)}] AS a, [{', '.join(f'm_{c}' for c in _POST)}] AS am,
   [{', '.join(f'coalesce(w.{c}, 0.0)' for c in _COMMENT)}] AS v, [{', '.join(f'm_{c}' for c in _COMMENT)}] AS vm
-  FROM w19 w JOIN base b ON w.official_uid = b.official_uid),
+  FROM w19 w LEFT JOIN base b ON w.official_uid = b.official_uid),
  p AS (SELECT *, {_prob_sql('a')} AS pa, {_prob_sql('am')} AS qa, {_prob_sql('v')} AS pv, {_prob_sql('vm')} AS qv FROM x),
  k AS (SELECT *, {_rank_sql('pv')} AS rp, {_rank_sql('qv')} AS rq FROM p)
- SELECT window_id, round(least(greatest(abs(res) / greatest(abs(p95), abs(p5), 1.645 * abs(sd), 1e-10), 0), 20), 6) AS residual_ratio,
-  round(least(list_sum(list_transform(list_zip(pa, qa), lambda z: z[1] * ln(z[1] / z[2]))), 20), 6) + 0.0 AS att_kl,
-  round(least(list_sum(list_transform(list_zip(pv, qv), lambda z: 0.5 * z[1] * ln(2 * z[1] / (z[1] + z[2])) + 0.5 * z[2] * ln(2 * z[2] / (z[1] + z[2])))), 5), 6) + 0.0 AS vsn_js,
-  round(6.0 * list_sum(list_transform(list_zip(rp, rq), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / (4 * 15.0), 6) AS vsn_rank_shift FROM k"""
+ SELECT window_id, CASE WHEN p95 IS NOT NULL THEN round(least(greatest(abs(res) / greatest(abs(p95), abs(p5), 1.645 * abs(sd), 1e-10), 0), 20), 6) END AS residual_ratio,
+  CASE WHEN am[1] IS NOT NULL THEN round(least(list_sum(list_transform(list_zip(pa, qa), lambda z: z[1] * ln(z[1] / z[2]))), 20), 6) + 0.0 END AS att_kl,
+  CASE WHEN am[1] IS NOT NULL THEN round(least(list_sum(list_transform(list_zip(pv, qv), lambda z: 0.5 * z[1] * ln(2 * z[1] / (z[1] + z[2])) + 0.5 * z[2] * ln(2 * z[2] / (z[1] + z[2])))), 5), 6) + 0.0 END AS vsn_js,
+  CASE WHEN am[1] IS NOT NULL THEN round(6.0 * list_sum(list_transform(list_zip(rp, rq), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / (4 * 15.0), 6) END AS vsn_rank_shift FROM k"""
 )
 def deviation_signals(spark: SparkSession, d: str) -> DataFrame:
     """DT1, SF14 to SF17: each account's windows against the first share of its own; null signals where the baseline has no values."""

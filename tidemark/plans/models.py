@@ -245,7 +245,13 @@ def exact_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- topics
 
-_WORDS = "words AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents WHERE text IS NOT NULL)"
+# words of any script but ideographs and kana, runs of kana, pairs of ideographs
+_KANA = "\\p{Hiragana}\\p{Katakana}ー"
+_WORDS = (
+    f"docs AS (SELECT coalesce(source, '') AS source, text, lower(text) AS low FROM documents WHERE text IS NOT NULL), runs AS (SELECT source, unnest(regexp_extract_all(text, '\\p{{Han}}{{2,}}')) AS h FROM docs), "
+    f"words AS (SELECT source, unnest(regexp_extract_all(regexp_replace(low, '[\\p{{Han}}{_KANA}]', ' ', 'g'), '[\\p{{L}}\\p{{M}}]{{2,}}')) AS word FROM docs UNION ALL SELECT source, unnest(regexp_extract_all(low, '[{_KANA}]{{2,}}')) FROM docs "
+    f"UNION ALL SELECT source, substr(h, i, 2) FROM (SELECT source, h, unnest(generate_series(1, length(h) - 1)) AS i FROM runs))"
+)
 
 
 @query(f"WITH {_WORDS} SELECT word, count(*) AS n FROM words GROUP BY 1")
@@ -254,7 +260,7 @@ def vocab_frequency(spark: SparkSession, d: str) -> DataFrame:
     return tp.vocabulary(table(spark, d, "documents").where("text IS NOT NULL"), tx.tokens(F.col("text"), other_scripts=True))
 
 
-@query(f"WITH {_WORDS}, t AS (SELECT coalesce(source, '') AS source, word, count(*) AS n FROM words GROUP BY ALL), a AS (SELECT word, sum(n) AS all_n FROM t GROUP BY 1), m AS (SELECT sum(n) / count(DISTINCT source) AS a FROM t), r AS (SELECT t.*, n * ln(1 + m.a / (all_n + 1)) AS w FROM t JOIN a USING (word), m), k AS (SELECT source, word, w / sum(w) OVER (PARTITION BY source) AS weight FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, word) AS rank, max(weight) OVER (PARTITION BY source) AS best FROM k) SELECT source, rank, round(weight, 6) AS weight FROM o WHERE rank <= 5 AND weight >= 0.1 * best")
+@query(f"WITH {_WORDS}, t AS (SELECT source, word, count(*) AS n FROM words GROUP BY ALL), a AS (SELECT word, sum(n) AS all_n FROM t GROUP BY 1), m AS (SELECT sum(n) / count(DISTINCT source) AS a FROM t), r AS (SELECT t.*, n * ln(1 + m.a / (all_n + 1)) AS w FROM t JOIN a USING (word), m), k AS (SELECT source, word, w / sum(w) OVER (PARTITION BY source) AS weight FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, word) AS rank, max(weight) OVER (PARTITION BY source) AS best FROM k) SELECT source, rank, round(weight, 6) AS weight FROM o WHERE rank <= 5 AND weight >= 0.1 * best")
 def ctfidf_top_words(spark: SparkSession, d: str) -> DataFrame:
     """ML35, ST3, over words of every script and pairs of ideographs."""
     df = table(spark, d, "documents").where("text IS NOT NULL").withColumn("source", F.coalesce("source", F.lit("")))
@@ -317,7 +323,7 @@ def generic_entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return p.select("post_id", F.when(F.col("text").contains("霁川"), "霁川").when(F.col("text").contains("新衣服"), F.concat(F.col("version"), F.lit("/new"))).alias("entity"))
 
 
-@query(f"WITH {POSTS} SELECT post_id, author_name, trim(regexp_replace(text, '[<>&\"]', '', 'g')) AS text FROM posts WHERE text IS NOT NULL AND trim(regexp_replace(text, '[<>&\"]', '', 'g')) <> '' AND NOT regexp_matches(text, '\\s$|^\\s|^[<>&\" ]|[<>&\" ]$')")
+@query(f"WITH {POSTS} SELECT post_id, author_name, nullif(trim(text, ' '), '') AS text FROM posts")
 def html_card_extract(spark: SparkSession, d: str) -> DataFrame:
     """SC10: pages are written from the posts, one for each post, and read back card by card; spaces around a text go."""
     text, author = (escaped(F.coalesce(c, F.lit(""))) for c in ("text", "author_name"))
