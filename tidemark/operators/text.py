@@ -75,20 +75,39 @@ def strict(t: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def clean_texts(df: DataFrame, text: str, author: str, official: list[str], neutral: list[str], strict_short_filter: bool = True) -> DataFrame:
+def clean_texts(df: DataFrame, text: str, source: str, is_retweet: Column, official: list[str], irrelevant: list[str], neutral: list[str]) -> DataFrame:
     """df with text_clean, text_clean_strict and is_filtered.
 
-    Retweets by official authors keep what stands before '//@'; texts with a neutral keyword are filtered; with
-    strict_short_filter a strict text under two characters is filtered too, without it only its text_clean is. Null
-    texts stay null. Filtered texts carry the sentinel.
+    Retweets of an official source keep what stands before '//@'; retweets of an irrelevant source, texts with a neutral
+    word, empty texts, and texts of which fewer than two characters are left when they are read strictly carry the
+    sentinel as text_clean. text_clean_strict is what is left of text_clean before that last rule. A null text has nulls
+    and isn't filtered; so has a null source no list.
     """
-    before = F.when(F.col(author).isin(official), F.split(F.col(text), "//@")[0]).otherwise(F.col(text))
-    word = "|".join(re.escape(w) for w in neutral)
-    hit = before.rlike(word) if neutral else F.lit(False)
-    s = strict(before)
-    short = F.char_length(s) < 2
-    out = df.withColumn("is_filtered", F.coalesce(hit | (short if strict_short_filter else F.lit(False)), F.lit(False)))
-    return out.withColumn("text_clean", F.when(hit | short, SENTINEL).otherwise(before)).withColumn("text_clean_strict", F.when(F.col("is_filtered"), SENTINEL).otherwise(s))
+    retweet_of = lambda names: F.coalesce(is_retweet & F.col(source).isin(names), F.lit(False)) if names else F.lit(False)
+    t = F.when(retweet_of(official), F.split(F.col(text), "//@")[0]).otherwise(F.col(text))
+    drop = retweet_of(irrelevant) | (F.char_length(t) < 1)
+    if neutral:
+        drop = drop | t.rlike("|".join(re.escape(w) for w in neutral))
+    kept = F.when(F.col(text).isNotNull(), F.when(drop, SENTINEL).otherwise(t))
+    out = df.withColumn("text_clean_strict", strict(kept))
+    short = F.char_length("text_clean_strict") < 2
+    out = out.withColumn("text_clean", F.when(short, SENTINEL).otherwise(kept))
+    return out.withColumn("is_filtered", F.coalesce(F.col("text_clean") == SENTINEL, F.lit(False)))
+
+
+def without_noise(df: DataFrame, images: str, videos: list[str], author: str, official: list[str]) -> DataFrame:
+    """Rows without image and video links, not by an official author; null and '' are no link, a null author is none of them."""
+    none = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    keep = none(images)
+    for v in videos:
+        keep = keep & none(v)
+    return df.where(keep & ~F.coalesce(F.col(author).isin(official), F.lit(False)))
+
+
+def topic_input(df: DataFrame, clean: str, strict_text: str, processed: DataFrame, key: str) -> DataFrame:
+    """Rows fit for topic models: cleaned text not null, not the sentinel, more than one character and not blank, key not yet processed."""
+    fit = F.col(clean).isNotNull() & (F.col(clean) != SENTINEL) & (F.char_length(strict_text) > 1) & (F.trim(strict_text) != "")
+    return df.where(fit).join(processed.select(key).distinct(), key, "left_anti")
 
 
 def sentiment_rules(score: Column, text: Column, neutral: list[str], negative: list[str], positive: list[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vectors as vec
 from tidemark.operators import detect as dt
 from tidemark.operators import lifecycle as lc
+from tidemark.operators.labels import plain_label, plain_label_sql
 from tidemark.plans.common import DETECTIONS, POSTS, WINDOWS, detections, posts, r, windows
 from tidemark.session import materialize, shared_dir
 from tidemark.streaming import adaptive
@@ -28,7 +29,8 @@ def query(sql: str | None = None):
 
 #: Share of each account's windows, from its first, that detection is calibrated on.
 QUIET_SHARE = 0.25
-T = dt.Thresholds(collective_rows=96, collective_least=32, drift_rows=288, drift_least=96, drift_lag=144, density=0.3, volatility_factor=6.0)
+#: The published thresholds.
+T = dt.Thresholds()
 _MODELS = ("model_comment_pc1", "model_post_pc1")
 
 # ---- signals: attention and variable weights are the rows of the two feature groups
@@ -97,8 +99,8 @@ _PRED = f"""WITH {_ROLLED.replace("rolled AS", "unranked AS")}, rolled AS (SELEC
  p1 AS (SELECT official_uid, {', '.join(f'avg({c}_rollmax_8) + 5.0 * stddev_samp({c}_rollmax_8) AS thr_{c}' for c in _SIG)}, {', '.join(f'avg({c}) AS mean_{c}, greatest(coalesce(stddev_samp({c}), 0), {f}) AS std_{c}' for c, f in T.level_columns().items())} FROM rolled WHERE {_QUIET_SQL} GROUP BY 1),
  p2 AS (SELECT q.official_uid, avg({_Z}) + 3.0 * stddev_samp({_Z}) AS level_thr, stddev_samp({_Z}) * {T.volatility_factor} AS vol_thr, avg({_Z}) + 2.0 * stddev_samp({_Z}) AS drift_thr FROM rolled q JOIN p1 USING (official_uid) WHERE {_QUIET_SQL} GROUP BY 1),
  z AS (SELECT r.*, {_Z} AS z, {' + '.join(f'CAST({c}_rollmax_8 > thr_{c} AS INT)' for c in _SIG)} AS votes, level_thr, vol_thr, drift_thr FROM rolled r JOIN p1 USING (official_uid) JOIN p2 USING (official_uid)),
- x AS (SELECT *, CASE WHEN count(z) OVER a >= 32 THEN avg(CAST(z > level_thr AS DOUBLE)) OVER a END AS density, CASE WHEN count(z) OVER a >= 32 THEN stddev_samp(z) OVER a END AS vol, CASE WHEN count(z) OVER b >= 96 THEN avg(z) OVER b END AS trend, lag(ts, 96) OVER (PARTITION BY official_uid ORDER BY time_idx) AS l3, lag(ts, 144) OVER (PARTITION BY official_uid ORDER BY time_idx) AS l14 FROM z WINDOW a AS (PARTITION BY official_uid ORDER BY time_idx ROWS 95 PRECEDING), b AS (PARTITION BY official_uid ORDER BY time_idx ROWS 287 PRECEDING)),
- y AS (SELECT *, coalesce(density > 0.3 AND vol < vol_thr, false) AS ca, coalesce(trend > drift_thr, false) AS cp FROM x),
+ x AS (SELECT *, CASE WHEN count(z) OVER a >= {T.collective_least} THEN avg(CAST(z > level_thr AS DOUBLE)) OVER a END AS density, CASE WHEN count(z) OVER a >= {T.collective_least} THEN stddev_samp(z) OVER a END AS vol, CASE WHEN count(z) OVER b >= {T.drift_least} THEN avg(z) OVER b END AS trend, lag(ts, {T.collective_rows}) OVER (PARTITION BY official_uid ORDER BY time_idx) AS l3, lag(ts, {T.drift_lag}) OVER (PARTITION BY official_uid ORDER BY time_idx) AS l14 FROM z WINDOW a AS (PARTITION BY official_uid ORDER BY time_idx ROWS {T.collective_rows - 1} PRECEDING), b AS (PARTITION BY official_uid ORDER BY time_idx ROWS {T.drift_rows - 1} PRECEDING)),
+ y AS (SELECT *, coalesce(density > {T.density} AND vol < vol_thr, false) AS ca, coalesce(trend > drift_thr, false) AS cp FROM x),
  pred AS (SELECT *, CASE WHEN ca THEN 'CA' WHEN votes >= 4 THEN 'PA' ELSE 'N' END AS label FROM y)
 """
 
@@ -140,17 +142,14 @@ def trigger_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- segments and incidents, over the stored labels
-_LAB = "CASE upper(trim(translate(pred_label, 'ＡＣＮＰａｃｎｐ', 'ACNPacnp'))) WHEN 'AP' THEN 'PA' WHEN 'CP' THEN 'CA' ELSE upper(trim(translate(pred_label, 'ＡＣＮＰａｃｎｐ', 'ACNPacnp'))) END"
+_LAB = plain_label_sql("pred_label")
 _LABELS = f"lab AS (SELECT DISTINCT official_uid, time_idx, \"timestamp\" AS ts, {_LAB} AS label FROM adaptive_detection_resultv5 WHERE pred_label IS NOT NULL)"
 _SEGS = f"{_LABELS}, b AS (SELECT *, CASE WHEN label = lag(label) OVER w AND epoch(ts) - epoch(lag(ts) OVER w) <= 900 THEN 0 ELSE 1 END AS c FROM lab WINDOW w AS (PARTITION BY official_uid ORDER BY ts)), g AS (SELECT *, sum(c) OVER (PARTITION BY official_uid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS seg FROM b), segs AS (SELECT official_uid, label, CAST(seg AS BIGINT) AS segment, min(ts) AS \"start\", max(ts) AS \"end\", count(*) AS n FROM g GROUP BY official_uid, label, seg HAVING label <> 'N')"
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     """PF18: stored labels in one code."""
-    wide, narrow = "ＡＣＮＰａｃｎｐ", "ACNPacnp"
-    x = F.upper(F.trim(F.translate("pred_label", wide, narrow)))
-    label = F.when(x == "AP", "PA").when(x == "CP", "CA").otherwise(x)
-    return detections(spark, d).where("pred_label IS NOT NULL").select("official_uid", "time_idx", F.col("timestamp").alias("ts"), label.alias("label")).distinct()
+    return detections(spark, d).where("pred_label IS NOT NULL").select("official_uid", "time_idx", F.col("timestamp").alias("ts"), plain_label(F.col("pred_label")).alias("label")).distinct()
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:

@@ -117,18 +117,56 @@ def channel_map_default(spark: SparkSession, d: str) -> DataFrame:
     return official(spark, d).select("post_id", F.coalesce(F.element_at(codes, F.col("official_post_type")), F.lit("daily")).alias("class"), F.when(F.col("official_uid").isNull(), 1.0).otherwise(F.coalesce(F.element_at(weight, F.col("official_uid")), F.lit(0.3))).alias("weight"))
 
 
-@query(f"WITH {POSTS} SELECT post_id, trim(split_part(text, '//@', 1)) AS kept FROM posts WHERE contains(text, '//@')")
-def official_mask_split(spark: SparkSession, d: str) -> DataFrame:
-    return posts(spark, d).where(F.col("text").contains("//@")).select("post_id", F.trim(F.split("text", "//@")[0]).alias("kept"))
+NEUTRAL = ["兑换码", "QQ群", "游戏UID", "订单NO."]
+#: Sources whose retweets are cut or dropped, and authors whose posts are no opinion; lists that a user curates.
+OFFICIAL_SOURCES, IRRELEVANT_SOURCES, OFFICIAL_AUTHORS = ["潮轮_0", "曜花_2", "鲸歌云旅"], ["星光_13", "霞水_6"], ["潮轮_0", "星月_1", "鲸歌云旅"]
 
 
-NEUTRAL = ["兑换码", "QQ群", "游戏UID", "订单NO."]
+def _names(names: list[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+_STRICT = "trim(regexp_replace(regexp_replace({0}, '//@[^:：]*[:：]?|回复@[^:：]*[:：]?|@[0-9A-Za-z_-]+|#[^#]*#|https?://[^\\s]+|\\[[^\\]]*\\]', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ')"
+_CLEAN = (
+    f"{POSTS}, cut AS (SELECT *, CASE WHEN post_type = 'retweet' AND source_author_name IN {_names(OFFICIAL_SOURCES)} THEN split_part(text, '//@', 1) ELSE text END AS t FROM posts), "
+    f"kept AS (SELECT *, CASE WHEN text IS NOT NULL THEN CASE WHEN coalesce(post_type = 'retweet' AND source_author_name IN {_names(IRRELEVANT_SOURCES)}, false) OR t = '' OR regexp_matches(t, '兑换码|QQ群|游戏UID|订单NO\\.') THEN 'FILTER_NEUTRAL_LEACHING' ELSE t END END AS k FROM cut), "
+    f"cleaned AS (SELECT *, {_STRICT.format('k')} AS text_clean_strict, CASE WHEN length({_STRICT.format('k')}) < 2 THEN 'FILTER_NEUTRAL_LEACHING' ELSE k END AS text_clean FROM kept)"
+)
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return tx.clean_texts(posts(spark, d), "text", "source_author_name", F.col("post_type") == "retweet", OFFICIAL_SOURCES, IRRELEVANT_SOURCES, NEUTRAL)
+
 
+@query(f"WITH {_CLEAN} SELECT post_id, text_clean, text_clean_strict, coalesce(text_clean = 'FILTER_NEUTRAL_LEACHING', false) AS is_filtered FROM cleaned")
+def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """PF10: the whole of cleaning, on every post."""
+    return _cleaned(spark, d).select("post_id", "text_clean", "text_clean_strict", "is_filtered")
 
-@query(f"WITH {POSTS} SELECT post_id, CASE WHEN regexp_matches(text, '兑换码|QQ群|游戏UID|订单NO\\.') THEN 'FILTER_NEUTRAL_LEACHING' ELSE text END AS text_clean FROM posts")
+
+@query(f"WITH {_CLEAN} SELECT post_id, source_author_name, text_clean FROM cleaned WHERE post_type = 'retweet'")
+def official_mask_split(spark: SparkSession, d: str) -> DataFrame:
+    """PF7: retweets, cut where the source is official, marked where it is irrelevant."""
+    return _cleaned(spark, d).where("post_type = 'retweet'").select("post_id", "source_author_name", "text_clean")
+
+
+@query(f"WITH {POSTS} SELECT post_id, CASE WHEN t IS NULL THEN NULL WHEN t = '' OR regexp_matches(t, '兑换码|QQ群|游戏UID|订单NO\\.') OR length({_STRICT.format('t')}) < 2 THEN 'FILTER_NEUTRAL_LEACHING' ELSE t END AS text_clean FROM (SELECT post_id, text AS t FROM posts)")
 def keyword_sentinel(spark: SparkSession, d: str) -> DataFrame:
-    out = tx.clean_texts(posts(spark, d).withColumn("text", F.col("text")), "text", "author_name", [], NEUTRAL, strict_short_filter=False)
-    return out.select("post_id", F.when(F.col("text").rlike("|".join(["兑换码", "QQ群", "游戏UID", r"订单NO\."])), tx.SENTINEL).otherwise(F.col("text")).alias("text_clean"))
+    """PF8: neutral words alone; sources are left as they are."""
+    return tx.clean_texts(posts(spark, d), "text", "source_author_name", F.lit(False), [], [], NEUTRAL).select("post_id", "text_clean")
+
+
+@query(f"WITH {POSTS} SELECT post_id, author_name FROM posts WHERE coalesce(trim(image_urls, ' '), '') = '' AND coalesce(trim(video_cover_url, ' '), '') = '' AND coalesce(author_name NOT IN {_names(OFFICIAL_AUTHORS)}, true)")
+def noise_filter(spark: SparkSession, d: str) -> DataFrame:
+    """PF11: posts without images and videos, not by official authors."""
+    return tx.without_noise(posts(spark, d), "image_urls", ["video_cover_url"], "author_name", OFFICIAL_AUTHORS).select("post_id", "author_name")
+
+
+@query(f"WITH {_CLEAN} SELECT post_id, text_clean_strict FROM cleaned WHERE text_clean IS NOT NULL AND text_clean <> 'FILTER_NEUTRAL_LEACHING' AND length(text_clean_strict) > 1 AND trim(text_clean_strict, ' ') <> '' AND post_id NOT IN (SELECT original_post_id FROM df_sentences WHERE original_post_id IS NOT NULL)")
+def topic_input(spark: SparkSession, d: str) -> DataFrame:
+    """PF12, PF13: posts fit for topic models whose sentences aren't there yet."""
+    processed = table(spark, d, "df_sentences").where("original_post_id IS NOT NULL").select(F.col("original_post_id").alias("post_id"))
+    return tx.topic_input(_cleaned(spark, d), "text_clean", "text_clean_strict", processed, "post_id").select("post_id", "text_clean_strict")
 
 
 @query(f"WITH {POSTS} SELECT post_id, trim(regexp_replace(regexp_replace(text, '//@[^:：]*[:：]?|回复@[^:：]*[:：]?|@[0-9A-Za-z_-]+|#[^#]*#|https?://[^\\s]+|\\[[^\\]]*\\]', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS t FROM posts WHERE text IS NOT NULL")

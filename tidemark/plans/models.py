@@ -331,11 +331,4 @@ def html_card_extract(spark: SparkSession, d: str) -> DataFrame:
     return cards(posts(spark, d).select(html.alias("html")), "html").select("post_id", "author_name", "text")
 
 
-@query(f"WITH {POSTS}, w AS (SELECT text, max(length(text)) AS n FROM posts WHERE text IS NOT NULL GROUP BY 1) SELECT count(*) AS texts, count(*) FILTER (n > 50) AS long_texts FROM w")
-def noise_filter(spark: SparkSession, d: str) -> DataFrame:
-    """PF11 to PF13: distinct texts that are not blank."""
-    w = posts(spark, d).where("text IS NOT NULL").select("text").distinct()
-    return w.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.char_length("text") > 50).alias("long_texts"))
-
-
 QUERIES, ORACLES = Q, O
