@@ -82,3 +82,34 @@ def test_stream_equals_batch(spark, data):
     from tidemark.plans import detection
 
     assert rows_of(detection.state_machine_batch(spark, data)) == rows_of(detection.stream_state_machine(spark, data))
+
+
+def test_controller_equals_recursion_in_sql(spark, tmp_path):
+    """Random batches with short limits pass through every action; the twin's recursion gives the same transitions."""
+    import random
+
+    import duckdb
+
+    from tests.compare import rows_of, sql_rows
+    from tidemark.plans.detection import machine_sql
+
+    r = random.Random(2)
+    k = ad.Limits(confirm=12, retrace=20, accumulate=30, parallel=16, extension=24, recovery=0.6, stability=0.7, cooldown=40, warmup=12)
+    rows = []
+    for series in range(12):
+        mood = 0.1
+        for i in range(150):
+            mood = r.choice((0.0, 0.1, 0.5, 0.9)) if r.random() < 0.15 else mood
+            n = r.randint(4, 8)
+            ca = [sum(r.random() < m for _ in range(n)) for m in (mood, mood * r.random())]
+            calm = [r.randint(0, n - c) if r.random() < 0.5 else n - c for c in ca]
+            warm = [r.randint(c, n - a) for c, a in zip(calm, ca)]
+            drift = [r.random() < 0.03, r.random() < 0.03]
+            rows.append((f"s{series}", 8 * i + 7, n, ca[0], drift[0], calm[0], warm[0], ca[1], drift[1], calm[1], warm[1]))
+    cols = "series string, at bigint, rows bigint, " + ", ".join(f"collective{i} bigint, drift{i} boolean, calm{i} bigint, warm{i} bigint" for i in (0, 1))
+    df = spark.createDataFrame(rows, cols)
+    df.write.parquet(str(tmp_path / "b"))
+    batches = f"SELECT series, \"at\" AS moment, \"rows\" AS n_rows, {', '.join(f'collective{i} AS ca{i}, drift{i}, calm{i}, warm{i}' for i in (0, 1))} FROM '{tmp_path}/b/*.parquet'"
+    got, want = rows_of(ad.fold(df, k)), sql_rows(duckdb.connect(), machine_sql(batches, k))
+    assert got == want
+    assert {x[0] for x in got[1]} == {"NONE", "START_FORWARD_COLLECTION", "FINETUNE_FROM_HISTORY", "FINETUNE_FROM_FORWARD_DATA", "EXTEND_PARALLEL_VALIDATION", "ACCEPT_NEW_BASELINE", "REJECT_NEW_BASELINE"}

@@ -89,11 +89,12 @@ def _z_max(t: Thresholds) -> Column:
     return zs[0] if len(zs) == 1 else F.greatest(*zs)
 
 
-def predict(df: DataFrame, params: DataFrame, partition: list[str], order: str, ts: str, t: Thresholds) -> DataFrame:
+def predict(df: DataFrame, params: DataFrame, partition: list[str], order: str, ts: str, t: Thresholds, relaxed: float | None = None) -> DataFrame:
     """df with the level, density, volatility, trend, votes, labels, attribution times and dominant parts.
 
     params has a row for each series. Precedence of labels: collective (CA), then point (PA), then N. Rolling values are
-    null below their least number of rows, and a null condition doesn't hold.
+    null below their least number of rows, and a null condition doesn't hold. With `relaxed` there is also relaxed_label,
+    the label with point thresholds that much higher, as a new baseline has it while it warms up.
     """
     require(df, [*t.point_columns(), *t.level_columns(), ts])
     keep = df.columns
@@ -140,5 +141,8 @@ def predict(df: DataFrame, params: DataFrame, partition: list[str], order: str,
             "trigger_features": F.when(pa, active).otherwise(""),
         }
     )
-    new = ["static_signal_z_max", "collective_density", "collective_volatility", "changepoint_trend_mean", "is_changepoint", "point_trigger_count", "pred_label", "attribution_time", "changepoint_attribution_time", "dominant_model", "dominant_signal", "trigger_features"]
+    if relaxed is not None:
+        fewer = sum((F.coalesce((F.col(c) > F.col(f"`point:{c}`") * relaxed).cast("int"), F.lit(0)) for c in t.point_columns()), F.lit(0))
+        x = x.withColumn("relaxed_label", F.when(F.col("ca_"), "CA").when(fewer >= t.point_votes, "PA").otherwise("N"))
+    new = [*(["relaxed_label"] if relaxed is not None else []), "static_signal_z_max", "collective_density", "collective_volatility", "changepoint_trend_mean", "is_changepoint", "point_trigger_count", "pred_label", "attribution_time", "changepoint_attribution_time", "dominant_model", "dominant_signal", "trigger_features"]
     return x.select(*[c for c in keep if c not in new], *new)

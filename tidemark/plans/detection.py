@@ -213,24 +213,67 @@ def alert_window_agg(spark: SparkSession, d: str) -> DataFrame:
     return out.select("alarm_id", "n", "n_distinct", r(F.col("repeat_ratio")).alias("repeat_ratio"))
 
 
-def _batches(spark: SparkSession, d: str) -> DataFrame:
-    lab = detections(spark, d).select("official_uid", "time_idx", "is_changepoint", F.col("pred_label")).where("pred_label IS NOT NULL").dropDuplicates(["official_uid", "time_idx"])
-    wide, narrow = "ＡＣＮＰａｃｎｐ", "ACNPacnp"
-    x = F.upper(F.trim(F.translate("pred_label", wide, narrow)))
-    lab = lab.withColumn("label", F.when(x == "CP", "CA").otherwise(x)).withColumn("drift", F.coalesce("is_changepoint", F.lit(False)))
-    return adaptive.summarise(lab, "official_uid", "time_idx", "label", "drift")
-
+#: The parts of each account's windows that the two baselines are calibrated on, and the relaxation of a new one.
+BASELINES, RELAX = ((0.0, QUIET_SHARE), (QUIET_SHARE, 2 * QUIET_SHARE)), 1.2
+LIMITS = adaptive.Limits()
 
-LIMITS = adaptive.Limits(confirm=24, retrace=96, accumulate=192, parallel=96, extension=144, cooldown=192)
 
-
-@query()
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """The labels that both baselines give each window, in batches."""
+    s = _signals(spark, d).where("official_uid IS NOT NULL")
+    ranked = s.withColumn("q_", F.percent_rank().over(Window.partitionBy("official_uid").orderBy("time_idx")))
+    both = None
+    for i, (lo, hi) in enumerate(BASELINES):
+        quiet = ranked.where((F.col("q_") >= lo) & (F.col("q_") < hi)).drop("q_")
+        out = dt.predict(s, dt.calibrate(quiet, ["official_uid"], T), ["official_uid"], "time_idx", "timestamp", T, relaxed=RELAX)
+        out = out.select("official_uid", "time_idx", F.lit(i).alias("baseline"), F.col("pred_label").alias("label"), "relaxed_label", F.col("is_changepoint").alias("drift"))
+        both = out if both is None else both.unionByName(out)
+    return adaptive.summarise(both, "official_uid", "time_idx")
+
+
+def _baseline_sql(i: int) -> str:
+    lo, hi = BASELINES[i]
+    fewer = " + ".join(f"CAST({c}_rollmax_8 > thr_{c} * {RELAX} AS INT)" for c in _SIG)
+    own = _PRED.replace(_QUIET_SQL, f"q >= {lo} AND q < {hi}").replace("AS votes,", f"AS votes, {fewer} AS fewer,")
+    return f"{own} SELECT official_uid, time_idx, {i} AS baseline, label, CASE WHEN ca THEN 'CA' WHEN fewer >= 4 THEN 'PA' ELSE 'N' END AS relaxed, cp FROM pred WHERE official_uid IS NOT NULL"
+
+
+def _batches_sql() -> str:
+    sums = ", ".join(f"count(*) FILTER (baseline = {i} AND label = 'CA') AS ca{i}, coalesce(bool_or(baseline = {i} AND cp), false) AS drift{i}, count(*) FILTER (baseline = {i} AND label = 'N') AS calm{i}, count(*) FILTER (baseline = {i} AND relaxed = 'N') AS warm{i}" for i in (0, 1))
+    return f"WITH both_ AS (SELECT * FROM ({_baseline_sql(0)}) UNION ALL SELECT * FROM ({_baseline_sql(1)})) SELECT official_uid AS series, max(time_idx) AS moment, count(*) FILTER (baseline = 0) AS n_rows, {sums} FROM both_ GROUP BY official_uid, time_idx // 24"
+
+
+def machine_sql(batches: str, k: adaptive.Limits) -> str:
+    """The controller as a recursion over batches: every series advances by one batch in each step."""
+    pick = lambda c, by="version": f"CASE WHEN {by} % 2 = 0 THEN {c}0 ELSE {c}1 END"
+    # one level for each step of thought: the batch, the observation, the comparison, the verdict
+    joined = f"SELECT m.* EXCLUDE (moment, s1, a1, start1, n1, v1, a2), b.moment AS b_at, b.n_rows AS b_rows, {pick('b.ca')} AS ca, {pick('b.drift')} AS drift, {pick('b.calm')} AS calm_now, {pick('b.calm', '(version + 1)')} AS calm_new, {pick('b.warm', '(version + 1)')} AS warm_new, CASE WHEN b.moment < until THEN 'COOLDOWN' WHEN state = 'COOLDOWN' THEN 'NORMAL' ELSE state END AS st FROM m JOIN b ON m.series = b.series AND m.k + 1 = b.k"
+    counted = f"SELECT *, CASE WHEN st = 'NORMAL' AND ca > 0 THEN ca WHEN st = 'CA_TENTATIVE' AND ca > 0 THEN counter + ca WHEN st IN ('NORMAL', 'CA_TENTATIVE') THEN greatest(0, counter - 1) ELSE counter END AS n, collected + b_rows AS c, st NOT IN ('COOLDOWN', 'SWITCHING') AND drift AS dr FROM ({joined})"
+    seen = f"""SELECT *, CASE WHEN dr THEN 'FINETUNE_FROM_HISTORY' WHEN st = 'CA_TENTATIVE' AND n >= {k.confirm} THEN 'START_FORWARD_COLLECTION' WHEN st = 'ACCUMULATING' AND c >= {k.accumulate} THEN 'FINETUNE_FROM_FORWARD_DATA' ELSE 'NONE' END AS a1,
+      CASE WHEN dr THEN greatest(0, b_at - {k.retrace}) WHEN st = 'CA_TENTATIVE' AND n >= {k.confirm} THEN b_at WHEN st = 'ACCUMULATING' AND c >= {k.accumulate} THEN greatest(0, b_at - c + 1) END AS start1,
+      CASE WHEN dr THEN 'SWITCHING' WHEN st = 'CA_TENTATIVE' AND n >= {k.confirm} THEN 'ACCUMULATING' WHEN st = 'ACCUMULATING' AND c >= {k.accumulate} THEN 'SWITCHING' WHEN st IN ('NORMAL', 'CA_TENTATIVE') THEN CASE WHEN n > 0 THEN 'CA_TENTATIVE' ELSE 'NORMAL' END ELSE st END AS s1,
+      CASE WHEN dr THEN counter ELSE n END AS n1, CASE WHEN dr THEN collected WHEN st = 'CA_TENTATIVE' AND n >= {k.confirm} THEN 0 WHEN st = 'ACCUMULATING' THEN c ELSE collected END AS c1,
+      CASE WHEN dr THEN 'drift' WHEN st = 'ACCUMULATING' AND c >= {k.accumulate} THEN 'collective' ELSE track END AS t1 FROM ({counted})"""
+    side = f"SELECT *, s1 = 'SWITCHING' AND a1 = 'NONE' AS par, seen + b_rows AS seen1, old + calm_now AS old1, new + CASE WHEN since < {k.warmup} THEN warm_new ELSE calm_new END AS new1 FROM ({seen})"
+    verdict = f"""SELECT *, CASE WHEN NOT par OR seen1 < CASE WHEN extended THEN {k.extension} ELSE {k.parallel} END THEN 'NONE' WHEN new1 / seen1 >= {k.stability} AND (t1 <> 'collective' OR new1 >= old1) THEN 'ACCEPT_NEW_BASELINE'
+      WHEN t1 = 'collective' AND old1 / seen1 >= {k.recovery} THEN 'REJECT_NEW_BASELINE' WHEN NOT extended THEN 'EXTEND_PARALLEL_VALIDATION' ELSE 'REJECT_NEW_BASELINE' END AS a2 FROM ({side})"""
+    end, more = "a2 IN ('ACCEPT_NEW_BASELINE', 'REJECT_NEW_BASELINE')", "a2 = 'EXTEND_PARALLEL_VALIDATION'"
+    step = f"""SELECT series, k + 1 AS k, CASE WHEN {end} THEN 'COOLDOWN' ELSE s1 END AS state, CASE WHEN {end} THEN 0 ELSE n1 END AS counter, CASE WHEN {end} THEN 0 ELSE c1 END AS collected, CASE WHEN {end} OR {more} THEN 0 WHEN par THEN seen1 ELSE seen END AS seen, CASE WHEN {end} THEN false ELSE extended OR {more} END AS extended,
+      CASE WHEN {end} THEN '' ELSE t1 END AS track, CASE WHEN {end} THEN b_at + {k.cooldown} ELSE until END AS until, version + CAST(a2 = 'ACCEPT_NEW_BASELINE' AS INT) AS version, CASE WHEN {end} OR {more} THEN 0 WHEN par THEN old1 ELSE old END AS old, CASE WHEN {end} OR {more} THEN 0 WHEN par THEN new1 ELSE new END AS new,
+      CASE WHEN {end} THEN 0 WHEN par THEN since + b_rows ELSE since END AS since, b_at AS moment, s1, a1, start1, n1, version AS v1, a2 FROM ({verdict})"""
+    return f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series ORDER BY moment) AS k FROM ({batches})),
+ m AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS k, 'NORMAL' AS state, CAST(0 AS BIGINT) AS counter, CAST(0 AS BIGINT) AS collected, CAST(0 AS BIGINT) AS seen, false AS extended, '' AS track, CAST(-1 AS BIGINT) AS until, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS old, CAST(0 AS BIGINT) AS new, CAST(0 AS BIGINT) AS since, CAST(NULL AS BIGINT) AS moment, '' AS s1, '' AS a1, CAST(NULL AS BIGINT) AS start1, CAST(0 AS BIGINT) AS n1, CAST(0 AS BIGINT) AS v1, 'NONE' AS a2 FROM b
+  UNION ALL {step})
+ SELECT series, moment AS "at", s1 AS state, a1 AS action, start1 AS data_start, n1 AS counter, v1 AS version FROM m WHERE k > 0 UNION ALL SELECT series, moment, state, a2, NULL, counter, version FROM m WHERE a2 <> 'NONE'"""
+
+
+@query(machine_sql(_batches_sql(), LIMITS))
 def state_machine_batch(spark: SparkSession, d: str) -> DataFrame:
     """DT8 to DT10 as an ordered fold."""
     return adaptive.fold(_batches(spark, d), LIMITS)
 
 
-@query()
+@query(machine_sql(_batches_sql(), LIMITS))
 def stream_state_machine(spark: SparkSession, d: str) -> DataFrame:
     """DT8 to DT10 as a stateful stream over the batches, replayed to its end."""
     base = shared_dir(spark, "controller")
