@@ -95,6 +95,19 @@ def test_near_hashes_are_found_by_bands(spark):
     assert {(r["a"], r["b"]) for r in visual.hash_links(df, "w", "h").collect()} == want
 
 
+def test_perceptual_hash(spark):
+    rng = np.random.default_rng(2)
+    image = np.kron(rng.uniform(0, 255, (30, 40)), np.ones((4, 4)))  # texture at all scales that the hash looks at
+    near = [image + rng.normal(0, 4, image.shape), image * 0.8 + 20, np.kron(image, np.ones((2, 2)))]
+    far = [rng.uniform(0, 255, (90, 90)), image.T, np.kron(rng.uniform(0, 255, (30, 40)), np.ones((4, 4)))]
+    bits = lambda a, b: bin(int(visual.perceptual_hash(a), 16) ^ int(visual.perceptual_hash(b), 16)).count("1")
+    assert all(bits(image, o) <= 10 for o in near) and all(bits(image, o) > 70 for o in far)
+    decode = lambda b: np.frombuffer(b, np.uint8).reshape(16, 16)
+    df = spark.createDataFrame([(1, bytes(range(256))), (2, None), (3, b"broken")], "i int, content binary")
+    got = {r["i"]: r["h"] for r in visual.hash_images(df, "content", decode).collect()}
+    assert len(got[1]) == 64 and got[2] is None and got[3] is None
+
+
 def test_components_over_long_chains(spark):
     links = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)], "a string, b string")
     nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(61)] + [("z",)], "node string")
@@ -172,3 +185,19 @@ def test_files(spark, tmp_path):
     assert files.read_params(spark, str(tmp_path / "p")) == {"k": 5.0, "名": [1, 2]}
     (tmp_path / "lex.txt").write_text("鲸歌 n\n云旅\n")
     assert sorted((r["word"], r["tag"]) for r in files.read_lexicon(spark, str(tmp_path / "lex.txt")).collect()) == [("云旅", None), ("鲸歌", "n")]
+
+
+def test_inference_in_batches(spark):
+    """The model sees batches of known rows, and each result goes to its own row."""
+
+    def load():
+        def score(texts, weights):
+            assert 0 < len(texts) <= 3
+            return [len(t) * w for t, w in zip(texts, weights)]
+
+        return score
+
+    df = spark.createDataFrame([(i, "x" * i if i != 4 else None, 0.5) for i in range(10)], "i int, t string, w double").coalesce(1)
+    got = {r["i"]: r["s"] for r in models.infer(df, ["t", "w"], load, "double", "s", batch=3).collect()}
+    assert got == {i: None if i == 4 else i * 0.5 for i in range(10)}
+    assert models.infer(df.where("false"), ["t", "w"], load, "double", "s").count() == 0

@@ -6,10 +6,12 @@ A series is bounded by its time range (35,040 windows of 15 minutes a year), not
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions import mathx
 
@@ -250,3 +252,28 @@ def forecast(t: np.ndarray, x: np.ndarray, feats: np.ndarray, lags: int = 12, tr
     vsn = np.abs(f * beta[lags + 1 :]) + 1e-10
     width = max(1e-9, float(q90 - q10))
     return pd.DataFrame({"time_idx": t[lags:], "target_true": y, "p10": p50 + q10, "p50": p50, "p90": p50 + q90, "residual": res, "divergence": np.abs(res) / width, "attention": list(att / att.sum(axis=1, keepdims=True)), "vsn": list(vsn / vsn.sum(axis=1, keepdims=True))})
+
+
+def infer(df: DataFrame, columns: list[str], load: Callable[[], Callable[..., Sequence]], schema: str, out: str, batch: int = 64) -> DataFrame:
+    """df with a column `out` that a user's model gives, such as a sentiment or an embedding, in Arrow batches.
+
+    load is called once for each Python worker and returns a function from lists of the columns' values, at most `batch`
+    of each, to as many results. A row with a null in any of the columns has a null result and isn't passed on.
+    """
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        model = load()
+        for series in batches:
+            frame = pd.concat(series, axis=1)
+            known = frame.notna().all(axis=1).to_numpy()
+            values = [frame.iloc[:, k][known].tolist() for k in range(frame.shape[1])]
+            found: list = []
+            for at in range(0, int(known.sum()), batch):
+                found += list(model(*(v[at : at + batch] for v in values)))
+            result: list = [None] * len(frame)
+            for i, v in zip(np.flatnonzero(known), found, strict=True):
+                result[i] = v
+            yield pd.Series(result, dtype=object)
+
+    return df.withColumn(out, run(*(F.col(c) for c in columns)))

@@ -11,7 +11,7 @@ from tidemark.operators import lifecycle as lc
 from tidemark.operators.labels import plain_label, plain_label_sql
 from tidemark.plans.common import DETECTIONS, POSTS, WINDOWS, detections, posts, r, windows
 from tidemark.session import materialize, shared_dir
-from tidemark.streaming import adaptive
+from tidemark.streaming import adaptive, replay
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -216,6 +216,8 @@ def alert_window_agg(spark: SparkSession, d: str) -> DataFrame:
 #: The parts of each account's windows that the two baselines are calibrated on, and the relaxation of a new one.
 BASELINES, RELAX = ((0.0, QUIET_SHARE), (QUIET_SHARE, 2 * QUIET_SHARE)), 1.2
 LIMITS = adaptive.Limits()
+#: Rows of a slice of a replayed table.
+SLICE_ROWS = 4_000_000
 
 
 def _batches(spark: SparkSession, d: str) -> DataFrame:
@@ -287,12 +289,16 @@ def stream_state_machine(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LABELS} SELECT time_bucket(INTERVAL '15 minutes', ts) AS w, label, count(*) AS n FROM lab WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Tumbling windows with a watermark and removal of repeated rows, as a stream replayed to its end."""
+    """Tumbling windows with a watermark of an hour and removal of repeated rows, as a stream in order of event time.
+
+    Windows and remembered ids are evicted as the watermark passes them: the state holds a slice and an hour.
+    """
     base = shared_dir(spark, "tumbling")
-    rows = _labels(spark, d).where("ts IS NOT NULL").withColumn("at", F.expr("timestamp_seconds(unix_timestamp(ts))")).withColumn("id", F.concat_ws("/", "official_uid", "time_idx"))
-    rows.select("id", "label", "at").unionByName(spark.createDataFrame([("", "", None)], "id string, label string, at timestamp").withColumn("at", F.expr("timestamp_seconds(4102444800)"))).repartition(2).write.parquet(f"{base}/source")
-    src = spark.readStream.schema("id string, label string, at timestamp").parquet(f"{base}/source")
-    out = src.withWatermark("at", "400 days").dropDuplicates(["id", "label", "at"]).groupBy(F.window("at", "15 minutes"), "label").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("w"), "label", "n")
+    rows = _labels(spark, d).where("ts IS NOT NULL").select(F.concat_ws("/", "official_uid", "time_idx").alias("id"), "label", F.expr("timestamp_seconds(unix_timestamp(ts))").alias("at"))
+    last = spark.range(1).select(F.lit("").alias("id"), F.lit("").alias("label"), F.expr("timestamp_seconds(4102444800)").alias("at"))
+    source = replay.staged(rows, "at", -(-rows.count() // SLICE_ROWS), last, base)
+    src = spark.readStream.schema("id string, label string, at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    out = src.withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["id", "label", "at"]).groupBy(F.window("at", "15 minutes"), "label").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("w"), "label", "n")
     q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     res = spark.read.schema("w timestamp, label string, n bigint").parquet(f"{base}/out")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.labels import plain_label, plain_label_sql
 from tidemark.operators import diagnostics as dg
 from tidemark.operators import windows as wn
 from tidemark.plans.common import DETECTIONS, OFFICIAL, POSTS, WINDOWS, detections, official, posts, r, windows
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
 
 
 _SIG = ["static_signal_z_max", "collective_density", "collective_volatility"]
-_SEP = f"{DETECTIONS}, x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS target, {c} AS v, pred_label NOT IN ('N', 'n', 'N ', 'Ｎ') AS p FROM det WHERE pred_label IS NOT NULL AND {c} IS NOT NULL" for c in _SIG) + ")"
+_SEP = f"{DETECTIONS}, x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS target, {c} AS v, {plain_label_sql('pred_label')} <> 'N' AS p FROM det WHERE pred_label IS NOT NULL AND {c} IS NOT NULL" for c in _SIG) + ")"
 
 
 @query(f"WITH {_SEP}, m AS (SELECT target, avg(v) FILTER (NOT p) AS m0, avg(v) FILTER (p) AS m1, stddev_samp(v) FILTER (NOT p) AS s0, stddev_samp(v) FILTER (p) AS s1, count(*) FILTER (NOT p) AS n0, count(*) FILTER (p) AS n1 FROM x GROUP BY 1), k AS (SELECT target, p, rank() OVER (PARTITION BY target ORDER BY abs(v)) + (count(*) OVER (PARTITION BY target, abs(v)) - 1) / 2.0 AS r FROM x), u AS (SELECT target, sum(r) FILTER (p) AS s FROM k GROUP BY 1) SELECT target, round((m1 - m0) / (sqrt((s0 * s0 + s1 * s1) / 2) + 1e-10), 5) AS cohen_d, round((s - n1 * (n1 + 1) / 2.0) / (n0 * n1), 6) AS auc, n0 AS n_normal, n1 AS n_alarm FROM m JOIN u USING (target)")
@@ -35,7 +36,7 @@ def target_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """ML5."""
     from tidemark.operators.robust import melt
 
-    det = detections(spark, d).where("pred_label IS NOT NULL").withColumn("p", ~F.col("pred_label").isin("N", "n", "N ", "Ｎ"))
+    det = detections(spark, d).where("pred_label IS NOT NULL").withColumn("p", plain_label(F.col("pred_label")) != "N")
     long = melt(det, ["p"], _SIG).withColumnRenamed("feature", "target")
     return dg.separation(long, ["target"], "p").select("target", r(F.col("cohen_d"), 5).alias("cohen_d"), r(F.col("auc")).alias("auc"), "n_normal", "n_alarm")
 

@@ -205,19 +205,26 @@ def decay_indicators(spark: SparkSession, d: str) -> DataFrame:
 def _images(spark: SparkSession, d: str) -> DataFrame:
     p = posts(spark, d).where("ts IS NOT NULL AND image_urls IS NOT NULL")
     e = p.select(wn.slot(F.col("ts"), "1 day").alias("w"), F.explode(F.split("image_urls", ", ")).alias("u")).where("u <> ''")
-    return e.select("w", vs.text_hash(F.col("u")).alias("h"))
+    return e.select("w", vs.planted_hash(F.col("u")).alias("h"))
 
 
-_IMAGES = f"{POSTS}, img AS (SELECT time_bucket(INTERVAL '1 day', ts) AS w, sha256(u) AS h FROM (SELECT ts, unnest(string_split(image_urls, ', ')) AS u FROM posts WHERE ts IS NOT NULL AND image_urls IS NOT NULL) WHERE u <> ''), c AS (SELECT w, h, count(*) AS m, row_number() OVER (PARTITION BY w ORDER BY count(*) DESC, h) AS k FROM img GROUP BY w, h)"
+def _planted_sql(u: str, digits: int = 1) -> str:
+    base, own = f"sha256(substr(md5({u}), 1, {digits}))", lambda k: f"substr(md5({u}), {digits + k}, 1)"
+    return f"substr({base}, 1, 20) || {own(1)} || substr({base}, 22, 20) || {own(2)} || substr({base}, 43, 21) || {own(3)}"
 
 
-@query(f"WITH {_IMAGES} SELECT w, CAST(sum(m) AS BIGINT) AS n, count(*) AS groups, CAST(sum(m) - count(*) AS BIGINT) AS redundancy, round(sum(m) FILTER (k <= 3) / (sum(m) + 15), 6) AS concentration, max(m) AS largest FROM c GROUP BY w")
+_DIFFER = " + ".join(f"CAST(bit_count(xor(CAST('0x' || substr(x.h, {i}, 15) AS BIGINT), CAST('0x' || substr(y.h, {i}, 15) AS BIGINT))) AS INT)" for i in (1, 16, 31, 46)) + " + CAST(bit_count(xor(CAST('0x' || substr(x.h, 61) AS BIGINT), CAST('0x' || substr(y.h, 61) AS BIGINT))) AS INT)"
+# clusters by brute force: all pairs of a day's hashes, then all that can be reached
+_IMAGES = f"{POSTS}, img AS (SELECT time_bucket(INTERVAL '1 day', ts) AS w, {_planted_sql('u')} AS h FROM (SELECT ts, unnest(string_split(image_urls, ', ')) AS u FROM posts WHERE ts IS NOT NULL AND image_urls IS NOT NULL) WHERE u <> ''), per AS (SELECT w, h, count(*) AS m FROM img GROUP BY ALL), near AS MATERIALIZED (SELECT x.w, x.h AS a, y.h AS b FROM per x JOIN per y ON x.w = y.w WHERE x.h = y.h OR {_DIFFER} <= 10), reach AS (SELECT w, a, b FROM near UNION SELECT r.w, r.a, n.b FROM reach r JOIN near n ON r.w = n.w AND r.b = n.a), roots AS (SELECT w, a AS h, min(b) AS root FROM reach GROUP BY w, a), size AS (SELECT w, root, sum(m) AS m FROM per JOIN roots USING (w, h) GROUP BY w, root), c AS (SELECT w, root AS h, m, row_number() OVER (PARTITION BY w ORDER BY m DESC, root) AS k FROM size)"
+
+
+@query(f"WITH RECURSIVE {_IMAGES} SELECT w, CAST(sum(m) AS BIGINT) AS n, count(*) AS groups, CAST(sum(m) - count(*) AS BIGINT) AS redundancy, round(sum(m) FILTER (k <= 3) / (sum(m) + 15), 6) AS concentration, CAST(max(m) AS BIGINT) AS largest FROM c GROUP BY w")
 def image_repetition(spark: SparkSession, d: str) -> DataFrame:
-    """AG12, AG13, J14, ML39: hashes of links stand for those of images, so only equal ones are near."""
+    """AG12, AG13, J14, ML39: planted hashes of links stand for those of images; near ones form clusters."""
     return vs.repetition(_images(spark, d), "w", "h").withColumn("concentration", r(F.col("concentration")))
 
 
-@query(f"WITH {_IMAGES}, g AS (SELECT w, sum(m) AS n, sum(m) - count(*) AS red, max(m) AS largest FROM c GROUP BY w) SELECT w, round(least(100.0, red * (1 + largest / n)), 6) AS impact, CAST(red - lag(red) OVER (ORDER BY w) AS DOUBLE) AS change, round(red / greatest(coalesce(avg(red) OVER (ORDER BY w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 1), 1), 6) AS burst, CAST(sum(CAST(red > 0 AS INT)) OVER (ORDER BY w ROWS 2 PRECEDING) AS BIGINT) AS sustained FROM g")
+@query(f"WITH RECURSIVE {_IMAGES}, g AS (SELECT w, sum(m) AS n, sum(m) - count(*) AS red, max(m) AS largest FROM c GROUP BY w) SELECT w, round(least(100.0, red * (1 + largest / n)), 6) AS impact, CAST(red - lag(red) OVER (ORDER BY w) AS DOUBLE) AS change, round(red / greatest(coalesce(avg(red) OVER (ORDER BY w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 1), 1), 6) AS burst, CAST(sum(CAST(red > 0 AS INT)) OVER (ORDER BY w ROWS 2 PRECEDING) AS BIGINT) AS sustained FROM g")
 def impact_score(spark: SparkSession, d: str) -> DataFrame:
     """SF39, WN11, PF20: a row for each day, so one line of windows is short."""
     g = vs.repetition(_images(spark, d), "w", "h").withColumn("all_", F.lit(0))
@@ -227,10 +234,14 @@ def impact_score(spark: SparkSession, d: str) -> DataFrame:
     return g.select("w", r(vs.impact_score(red, F.col("largest"), F.col("n"))).alias("impact"), r((red - F.lag(red).over(o)).cast("double")).alias("change"), r(red / before).alias("burst"), F.sum((red > 0).cast("int")).over(o.rowsBetween(-2, 0)).alias("sustained"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE docs AS (SELECT doc_id, {_planted_sql('text', 3)} AS h FROM documents WHERE text IS NOT NULL AND text <> ''), per AS (SELECT 0 AS w, h FROM docs GROUP BY h), base AS (SELECT *, substr(h, 1, 20) AS p FROM per), near AS MATERIALIZED (SELECT x.h AS a, y.h AS b FROM base x JOIN base y ON x.p = y.p WHERE {_DIFFER} <= 10), "
+    "lab AS (SELECT h, h AS root, 0 AS i, true AS moved FROM per UNION ALL SELECT h, root, i, moved FROM (SELECT l.h, min(o.root) AS root, l.i + 1 AS i, bool_or(min(o.root) < l.root) OVER () AS moved FROM lab l JOIN near n ON l.h = n.a JOIN lab o ON o.h = n.b GROUP BY l.h, l.root, l.i) WHERE moved), "
+    "last AS (SELECT h, min(root) AS root FROM lab GROUP BY h) SELECT min(doc_id) AS first_doc, count(*) AS n FROM docs JOIN last USING (h) GROUP BY root"
+)
 def hash_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """ML39 without windows: documents whose 256-bit hashes of lines are near, components over all."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND text <> ''").select(F.lit(0).alias("w"), F.sha2(F.col("text"), 256).alias("h"), "doc_id")
+    """ML39 without windows: documents whose planted hashes of 256 bits are near, components over all."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND text <> ''").select(F.lit(0).alias("w"), vs.planted_hash(F.col("text"), 3).alias("h"), "doc_id")
     links = vs.hash_links(docs, "w", "h")
     nodes = docs.select(F.col("h").alias("node")).distinct()
     c = vs.components_global(links, nodes)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import pathlib
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,31 +35,54 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 
 
 _made: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    plain = path.removeprefix("file://")
+    if plain.startswith("/"):
+        shutil.rmtree(plain, ignore_errors=True)
+    else:
+        with contextlib.suppress(Exception):  # the session may be gone; its folder then outlives it
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     """At the end of the driver, remove what it wrote to the shared folder."""
     for spark, path in _made:
-        plain = path.removeprefix("file://")
-        if plain.startswith("/"):
-            shutil.rmtree(plain, ignore_errors=True)
-        else:
-            with contextlib.suppress(Exception):  # the session may be gone; its folder then outlives it
-                jvm = spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside is removed at the end; for queries whose result is consumed inside."""
+    kept = list(_made)
+    try:
+        yield
+    finally:
+        for made in [m for m in _made if m not in kept]:
+            _delete(*made)
+            _made.remove(made)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder is set.
+    Only where the setting is absent and all runs on one machine, as in tests, a temporary folder is used; on a cluster
+    its absence is an error, for a folder of each machine's own would lose results. The session's settings stay as they are.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = _local.get(context.applicationId)
+        if base is None:
+            base = _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+            _made.append((spark, base))
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
