@@ -91,3 +91,14 @@ def test_runs_empty(spark):
 def test_labels_fold(spark):
     df = spark.createDataFrame([(x,) for x in ("N", "Ｎ", " n ", "AP", "ｐa", "CP", "　ca")], "pred_label string")
     assert [r[0] for r in df.select(queries_events.plain_label(F.col("pred_label"))).collect()] == ["N", "N", "N", "PA", "PA", "CA", "CA"]
+
+
+def test_a_label_may_hold_any_sign(spark, tmp_path):
+    """The flag is told from the label by the last sign, and labels of any kind of blank or width are one."""
+    from tidemark.llm.queries_events import p6_runs
+
+    at = lambda k: dt.datetime(2025, 3, 1) + dt.timedelta(minutes=15 * k)
+    rows = [("u", k, at(k), label, drift, 0.0) for k, (label, drift) in enumerate((("a|b", True), (" Ａ｜B\u3000", True), ("|", None), ("", False), ("x", False), ("X", None)))]
+    spark.createDataFrame(rows, "official_uid string, time_idx bigint, timestamp timestamp_ntz, pred_label string, is_baseline_drift boolean, collective_density double").write.parquet(f"{tmp_path}/adaptive_detection_resultv5.parquet")
+    got = {(r["pred_label"], r["is_baseline_drift"], r["first_time_idx"], r["n_windows"]) for r in p6_runs(spark, str(tmp_path)).collect()}
+    assert got == {("A|B", True, 0, 2), ("|", False, 2, 1), ("", False, 3, 1), ("X", False, 4, 2)}

@@ -18,7 +18,6 @@ horizon. The stream runs in a session of its own, whose number of state partitio
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import clock
 from tidemark.session import shared_dir
+from tidemark.streaming import replay
 
 #: Rows of both sides in a slice of the replay: bounds the state that the cluster holds at a time.
 SLICE_ROWS = 4_000_000
@@ -53,31 +53,6 @@ def nearest_stream(left: DataFrame, right: DataFrame, tolerance_s: int, lateness
     return best.select(F.col("l_entity").alias("entity"), F.col("l_id").alias("left_id"), F.col("best.i").alias("right_id"), (F.col("best.d") / 1_000_000).alias("distance_s"))
 
 
-def _in_order(spark: SparkSession, staged: str, marker: str, source: str) -> None:
-    """Move the files of `staged`, in order of their names, then those of `marker`, to `source`, each newer than the one before.
-
-    A stream reads files by their time of change. Stores that keep the time of a moved file let it be set, others give a new one.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(source).getFileSystem(conf)
-    fs.mkdirs(path(source))
-    names = [(folder, f.getPath().getName()) for folder in (staged, marker) for f in sorted(fs.listStatus(path(folder)), key=lambda f: f.getPath().getName()) if f.getPath().getName().endswith(".parquet")]
-    begin, last = int(time.time()) - len(names) - 10, -1
-    for i, (folder, name) in enumerate(names):
-        target = path(f"{source}/{i:06}.parquet")
-        if not fs.rename(path(f"{folder}/{name}"), target):
-            raise OSError(f"cannot move {folder}/{name}")
-        fs.setTimes(target, (begin + i) * 1000, -1)
-        changed = fs.getFileStatus(target).getModificationTime()
-        while changed <= last:  # a store with its own times that are too coarse: copy until they differ
-            time.sleep(1)
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, path(f"{source}/_{i:06}"), True, conf)
-            fs.rename(path(f"{source}/_{i:06}"), target)
-            changed = fs.getFileStatus(target).getModificationTime()
-        last = changed
-
-
 def nearest_join(spark: SparkSession, left: DataFrame, right: DataFrame, tolerance_s: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The nearest partners of two finite tables of (entity, id BIGINT, at TIMESTAMP), replayed through the stream.
 
@@ -91,17 +66,16 @@ def nearest_join(spark: SparkSession, left: DataFrame, right: DataFrame, toleran
     sink = f"{base}/result"
     schema = "side int, entity string, id bigint, at timestamp"
     n = both.count()
-    # a file for each slice, in order of event time; repeated rows don't matter to the smallest partner
-    both.repartitionByRange(max(1, -(-n // slice_rows)), "at").write.parquet(f"{base}/staged")
     far = F.timestamp_micros(F.lit(253_000_000_000_000_000))
-    spark.range(2).select(F.col("id").cast("int").alias("side"), F.lit(_END).alias("entity"), F.col("id"), far.alias("at")).coalesce(1).write.parquet(f"{base}/marker")
-    _in_order(spark, f"{base}/staged", f"{base}/marker", f"{base}/source")
+    end = spark.range(2).select(F.col("id").cast("int").alias("side"), F.lit(_END).alias("entity"), F.col("id"), far.alias("at"))
+    # a file for each slice, in order of event time; repeated rows don't matter to the smallest partner
+    source = replay.staged(both, "at", -(-n // slice_rows), end, base)
     own = spark.newSession()
     for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
         if (value := spark.conf.get(key, None)) is not None:
             own.conf.set(key, value)
     own.conf.set("spark.sql.shuffle.partitions", str(max(2, -(-min(n, slice_rows) // STATE_ROWS))))
-    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     nearest = nearest_stream(stream.where("side = 0").select("entity", "id", "at"), stream.where("side = 1").select("entity", "id", "at"), tolerance_s, lateness_s=0)
     q = nearest.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).queryName(f"nearest-{uuid.uuid4().hex}").start()
     q.awaitTermination()

@@ -6,25 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import clock, nearest, runs
+from tidemark.operators.labels import plain_label
 from tidemark.sources.tables import table
 
 MAX_GAP_SECONDS = 1800
-# Codes that writers use for the same label.
-SAME_LABEL = {"AP": "PA", "CP": "CA"}
-#: White space of any kind around a label.
-_BLANKS = r"^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$"
-
-
-def plain_label(c: Column) -> Column:
-    """Label without case, width and outer blanks, one code for each meaning."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94))
-    narrow = "".join(chr(0x21 + i) for i in range(94))
-    x = F.upper(F.regexp_replace(F.translate(c, wide, narrow), _BLANKS, ""))
-    for a, b in SAME_LABEL.items():
-        x = F.when(x == a, F.lit(b)).otherwise(x)
-    return x
-
-
 def _label(df: DataFrame) -> Column:
     return F.concat_ws("|", plain_label(F.col("pred_label")), F.coalesce(F.col("is_baseline_drift"), F.lit(False)).cast("string"))
 
@@ -44,8 +29,8 @@ def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs, single windows too, with label, flag, count and duration."""
     df = _windows(spark, sf_dir)
     out = runs.collapse_runs(df, "official_uid", clock.seconds(F.col("timestamp")), "time_idx", _label(df), MAX_GAP_SECONDS)
-    label = F.split("label", r"\|")
-    return out.select(F.col("entity").alias("official_uid"), label[0].alias("pred_label"), (label[1] == "true").alias("is_baseline_drift"), F.col("first_key").alias("first_time_idx"), F.col("last_key").alias("last_time_idx"), F.col("n").alias("n_windows"), F.col("duration_s").cast("bigint").alias("duration_s"))
+    flag = F.substring_index("label", "|", -1)  # a label may hold the sign, the flag behind the last one doesn't
+    return out.select(F.col("entity").alias("official_uid"), F.expr("left(label, length(label) - length(substring_index(label, '|', -1)) - 1)").alias("pred_label"), (flag == "true").alias("is_baseline_drift"), F.col("first_key").alias("first_time_idx"), F.col("last_key").alias("last_time_idx"), F.col("n").alias("n_windows"), F.col("duration_s").cast("bigint").alias("duration_s"))
 
 
 def p6_similar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
