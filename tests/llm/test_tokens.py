@@ -158,3 +158,40 @@ def test_pieces_empty_table(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "short")], "doc_id bigint, text string")
     assert splitting.split_column(df, "doc_id", "text", [(4, 128, 16)]).count() == 0
     assert splitting.split_column(df.where("false"), "doc_id", "text", [(4, 128, 16)]).count() == 0
+
+
+@pytest.mark.parametrize("change", [{"pre_tokenizer": None}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "use_regex": False}}])
+def test_other_vocabularies_are_refused(tmp_path, change):
+    """A file that would be encoded in another way raises instead of giving wrong ids."""
+    import json
+
+    file = json.loads(open(f"{bpe.TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8").read())
+    (tmp_path / "x.json").write_text(json.dumps(file | change))
+    with pytest.raises(ValueError):
+        bpe.Merges(str(tmp_path / "x.json"))
+    with pytest.raises(ValueError):
+        bpe.Merges(f"{bpe.TOKENIZERS}/word_bpe_49k.json")
+
+
+def test_planted_topic_changes_are_found(data, spark):
+    """Where two documents are joined, the deepest valley of a window lies there far more often than a random border."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").where("length(text) between 1500 and 20000").collect()]
+    ends_of = lambda t: [*(e for e in (m.end() for m in splitting._UNIT.finditer(t)) if e < len(t)), len(t)]
+    hit = chance = n = 0
+    for _ in range(300):
+        a, b = (texts[i] for i in rng.choice(len(texts), 2, replace=False))
+        ea, eb = ends_of(a), ends_of(b)
+        k = min(len(ea), len(eb), int(rng.integers(8, 40)))
+        if k < 8:
+            continue
+        t, at = a[: ea[k - 1]] + b[: eb[k - 1]], ea[k - 1]
+        ends = np.array(ends_of(t))
+        depth = splitting.valley_depths(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), ends)
+        true = int(np.searchsorted(ends, at))
+        lo, hi = max(0, true - len(ends) // 4), min(len(ends) - 1, true + len(ends) // 4)
+        hit, chance, n = hit + (lo + int(np.argmax(depth[lo:hi])) == true), chance + 1 / (hi - lo), n + 1
+    print(f"planted changes found: {hit / n:.3f}, by chance {chance / n:.3f}, of {n}")
+    assert n > 30 and hit / n > 3 * chance / n

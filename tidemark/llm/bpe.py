@@ -44,8 +44,14 @@ class Merges:
     """The merge table as arrays; small (about 1 MB), made on the driver and sent to the workers."""
 
     def __init__(self, path: str):
-        model = json.loads(open(path, encoding="utf-8").read())["model"]
+        file = json.loads(open(path, encoding="utf-8").read())
+        model, before = file["model"], file.get("pre_tokenizer") or {}
         vocab, letters = model["vocab"], byte_letters()
+        # another kind of file would give wrong ids without a word
+        if model.get("type", "BPE") != "BPE" or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or file.get("normalizer"):
+            raise ValueError(f"{path} is no byte-level BPE vocabulary without normalisation")
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False or max(vocab.values()) >= 1 << 17:
+            raise ValueError(f"{path} splits texts in another way than PATTERN, or has more than 2^17 ids")
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.byte_id = np.empty(256, np.int32)
         for ch, b in letters.items():
@@ -277,6 +283,14 @@ def count_column(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_
         enc = Encoder(table.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.count(texts), pa.int64())], names=[key, "n_tokens"])
+            counts, at = [], 0
+            while at < len(texts):  # texts of bounded size at a time
+                upto, size = at, 0
+                while upto < len(texts) and size < (8 << 20):
+                    size += len(texts[upto] or "")
+                    upto += 1
+                counts.append(enc.count(texts[at:upto]))
+                at = upto
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0, np.int64), *counts]), pa.int64())], names=[key, "n_tokens"])
 
     return df.select(key, text).mapInArrow(run, schema)

@@ -104,7 +104,7 @@ def pack(items: DataFrame, budgets: list[tuple[int, int]], open_windows: int = O
         .select("budget_id", "key", "row", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
         .select("budget_id", F.concat_ws("-", F.lit("full"), F.col("row").cast("string"), F.col("piece").cast("string")).alias("container_id"), "key", F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("capacity")).alias("offset"), F.col("capacity").cast("bigint").alias("size"))
     )
-    rest = pieces.select("budget_id", "capacity", "key", "full", (F.col("size") - F.col("full") * F.col("capacity")).alias("size")).where("size > 0").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)))
+    rest = pieces.select("budget_id", "capacity", "key", "row", "full", (F.col("size") - F.col("full") * F.col("capacity")).alias("size")).where("size > 0").withColumn("part", F.pmod(F.xxhash64(F.coalesce("key", F.col("row").cast("string")), F.lit(1)), F.lit(parts)))
     numbered = rest.withColumn("key", F.to_json(F.struct(F.col("key").alias("k"), F.col("full").alias("f"))))
     packed = _level(numbered, open_windows)
     packed = materialize(packed.withColumn("container_id", F.concat_ws("-", F.col("part").cast("string"), F.col("local").cast("string"))), "packed")

@@ -1,8 +1,9 @@
 """Problem 9: items beyond a size limit cut into ordered pieces at natural boundaries, with a given overlap.
 
 Method. Lexical-cohesion segmentation. A text's sentences and lines are its units; at each gap between units the words
-(pairs of characters, hashed) of the BLOCK units before are compared with those of the BLOCK units after by cosine.
-Where the similarity has a valley, the topic changes; a valley's depth is how far the similarity rises on both sides.
+(pairs of characters, hashed to _DIMS buckets, rare ones of the text weighing more) of the BLOCK units before are compared
+with those of the BLOCK units after by cosine. Where the similarity has a valley, the topic changes; a valley's depth is
+how far the similarity rises within BLOCK gaps on both sides.
 A piece ends at the deepest valley of its size window, which is the second half of the capacity; without a unit's end
 there, at the last comma or space, and without those at the last character border. The next piece begins `overlap`
 tokens before.
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from tidemark.llm import bpe
 
 BLOCK = 6
-_DIMS = 64
+_DIMS = 256
 _UNIT = regex.compile(r"(?:[。！？!?…]+[\"'”’）)】」』]*|\.(?=\s)|\n)\s*")
 _CLAUSE = regex.compile(r"[，,、；;：:]\s*|\s+")
 
@@ -35,15 +36,17 @@ def valley_depths(points: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> n
     n = len(ends)
     if n < 2:
         return np.empty(0)
-    pair = (points[:-1].astype(np.uint32) * np.uint32(31) + points[1:]) * np.uint32(2654435761) >> np.uint32(26)
+    pair = (points[:-1].astype(np.uint32) * np.uint32(31) + points[1:]) * np.uint32(2654435761) >> np.uint32(24)
     unit = np.searchsorted(ends, np.arange(len(pair)), "right")
     counts = np.bincount(unit * _DIMS + pair, minlength=n * _DIMS)[: n * _DIMS].reshape(n, _DIMS).astype(np.float32)
+    counts *= np.log((n + 1) / ((counts > 0).sum(axis=0) + 0.5)).astype(np.float32)
     total = np.concatenate([np.zeros((1, _DIMS), np.float32), np.cumsum(counts, axis=0)])
     gap = np.arange(1, n)
     before = total[gap] - total[np.maximum(gap - block, 0)]
     after = total[np.minimum(gap + block, n)] - total[gap]
-    norm = np.sqrt((before**2).sum(axis=1) * (after**2).sum(axis=1))
-    sim = np.where(norm > 0, (before * after).sum(axis=1) / np.maximum(norm, 1e-9), 0.0)
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+    norm = np.sqrt(dot(before, before) * dot(after, after))
+    sim = np.where(norm > 0, dot(before, after) / np.maximum(norm, 1e-9), 0.0)
     padded = np.concatenate([np.full(block, -1.0), sim, np.full(block, -1.0)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, block + 1)
     return windows[: n - 1].max(axis=1) + windows[block : block + n - 1].max(axis=1) - 2 * sim
