@@ -15,6 +15,7 @@ be torn apart. Texts are cut where they are read: no shuffle.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,18 @@ _UNIT = regex.compile(r"(?:[。！？!?…]+[\"'”’）)】」』]*|\.(?=\s)|\
 _CLAUSE = regex.compile(r"[，,、；;：:]\s*|\s+")
 
 
+def _window_sums(rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of `size` consecutive rows, of fewer at both ends: len(rows) + size - 1 of them, by doubling."""
+    if size == 1:
+        return rows
+    part = _window_sums(rows, size // 2 if size % 2 == 0 else size - 1)
+    shift, other = (size // 2, part) if size % 2 == 0 else (size - 1, rows)
+    out = np.zeros((len(rows) + size - 1, rows.shape[1]), rows.dtype)
+    out[: len(part)] = part
+    out[shift : shift + len(other)] += other
+    return out
+
+
 def valley_depths(points: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Depth of the cohesion valley at each inner unit border; points are code points, ends the units' ends in characters."""
     n = len(ends)
@@ -40,13 +53,12 @@ def valley_depths(points: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> n
     unit = np.searchsorted(ends, np.arange(len(pair)), "right")
     counts = np.bincount(unit * _DIMS + pair, minlength=n * _DIMS)[: n * _DIMS].reshape(n, _DIMS).astype(np.float32)
     counts *= np.log((n + 1) / ((counts > 0).sum(axis=0) + 0.5)).astype(np.float32)
-    total = np.concatenate([np.zeros((1, _DIMS), np.float32), np.cumsum(counts, axis=0)])
-    gap = np.arange(1, n)
-    before = total[gap] - total[np.maximum(gap - block, 0)]
-    after = total[np.minimum(gap + block, n)] - total[gap]
+    sums = _window_sums(counts, block)  # row i: units i - block + 1 to i
     dot = lambda x, y: np.einsum("ij,ij->i", x, y)
-    norm = np.sqrt(dot(before, before) * dot(after, after))
-    sim = np.where(norm > 0, dot(before, after) / np.maximum(norm, 1e-9), 0.0)
+    square = dot(sums, sums)
+    before, after = slice(0, n - 1), slice(block, n - 1 + block)
+    norm = np.sqrt(square[before] * square[after])
+    sim = np.where(norm > 0, dot(sums[before], sums[after]) / np.maximum(norm, 1e-9), 0.0)
     padded = np.concatenate([np.full(block, -1.0), sim, np.full(block, -1.0)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, block + 1)
     return windows[: n - 1].max(axis=1) + windows[block : block + n - 1].max(axis=1) - 2 * sim
@@ -71,8 +83,9 @@ class Cutter:
             ends = np.append(ends, len(text))
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         depth = np.append(valley_depths(points, ends), 0.0)
-        self.cut, self.depth = self._tokens(ends, depth)
-        self._clauses: np.ndarray | None = None
+        cut, depth = self._tokens(ends, depth)
+        self.cut_list, self.depth_list = cut.tolist(), depth.tolist()
+        self._clauses: list[int] | None = None
 
     def _tokens(self, ends: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The token borders at these characters, where there are any."""
@@ -81,10 +94,10 @@ class Cutter:
         ok = self.token_byte[np.minimum(k, self.n)] == b
         return k[ok], depth[ok]
 
-    def clauses(self) -> np.ndarray:
+    def clauses(self) -> list[int]:
         if self._clauses is None:
             ends = np.fromiter((m.end() for m in _CLAUSE.finditer(self.text)), np.int64)
-            self._clauses = self._tokens(ends, np.zeros(len(ends)))[0]
+            self._clauses = self._tokens(ends, np.zeros(len(ends)))[0].tolist()
         return self._clauses
 
     def _down(self, t: int) -> int:
@@ -95,17 +108,18 @@ class Cutter:
     def pieces(self, capacity: int, overlap: int) -> list[tuple[int, int]]:
         """[start, end) in tokens of each piece."""
         overlap = max(0, min(overlap, capacity - 1))
+        cut, depth = self.cut_list, self.depth_list
         out, s = [], 0
         while self.n - s > capacity:
             hi = s + capacity
             lo = min(hi, s + max(overlap + 1, capacity // 2))
-            i, j = np.searchsorted(self.cut, (lo, hi + 1))
+            i, j = bisect_left(cut, lo), bisect_right(cut, hi)
             if j > i:
-                e = int(self.cut[j - 1 - int(np.argmax(self.depth[i:j][::-1]))])  # the later of equal valleys
+                e = cut[max(range(i, j), key=lambda k: (depth[k], k))]  # the later of equal valleys
             else:
                 c = self.clauses()
-                i, j = np.searchsorted(c, (lo, hi + 1))
-                e = int(c[j - 1]) if j > i else self._down(hi)
+                i, j = bisect_left(c, lo), bisect_right(c, hi)
+                e = c[j - 1] if j > i else self._down(hi)
             if e <= s:  # the capacity is smaller than one character
                 e = hi
             out.append((s, e))
