@@ -195,3 +195,14 @@ def test_planted_topic_changes_are_found(data, spark):
         hit, chance, n = hit + (lo + int(np.argmax(depth[lo:hi])) == true), chance + 1 / (hi - lo), n + 1
     print(f"planted changes found: {hit / n:.3f}, by chance {chance / n:.3f}, of {n}")
     assert n > 30 and hit / n > 3 * chance / n
+
+
+def test_valleys_do_not_depend_on_the_pieces_they_are_computed_in(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    t = "".join("".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 60, int(k))) + "。" for k in rng.integers(1, 30, 300))
+    points, ends = np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([m.end() for m in splitting._UNIT.finditer(t)])
+    whole = splitting.valley_depths(points, ends)
+    monkeypatch.setattr(splitting, "_GAPS", 7)
+    assert np.allclose(splitting.valley_depths(points, ends), whole) and len(whole) == len(ends) - 1

@@ -28,6 +28,8 @@ from tidemark.llm import bpe
 
 BLOCK = 6
 _DIMS = 256
+#: Gaps that are compared at a time; bounds the memory of a very long text.
+_GAPS = 2048
 _UNIT = regex.compile(r"(?:[。！？!?…]+[\"'”’）)】」』]*|\.(?=\s)|\n)\s*")
 _CLAUSE = regex.compile(r"[，,、；;：:]\s*|\s+")
 
@@ -51,14 +53,25 @@ def valley_depths(points: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> n
         return np.empty(0)
     pair = (points[:-1].astype(np.uint32) * np.uint32(31) + points[1:]) * np.uint32(2654435761) >> np.uint32(24)
     unit = np.searchsorted(ends, np.arange(len(pair)), "right")
-    counts = np.bincount(unit * _DIMS + pair, minlength=n * _DIMS)[: n * _DIMS].reshape(n, _DIMS).astype(np.float32)
-    counts *= np.log((n + 1) / ((counts > 0).sum(axis=0) + 0.5)).astype(np.float32)
-    sums = _window_sums(counts, block)  # row i: units i - block + 1 to i
+
+    def counts(first: int, last: int) -> np.ndarray:
+        """Buckets of the units first to last."""
+        i, j = np.searchsorted(unit, (first, last))
+        return np.bincount((unit[i:j] - first) * _DIMS + pair[i:j], minlength=(last - first) * _DIMS).reshape(last - first, _DIMS).astype(np.float32)
+
+    whole = counts(0, n) if n <= _GAPS else None
+    held = (whole > 0).sum(axis=0) if whole is not None else sum((counts(i, min(n, i + _GAPS)) > 0).sum(axis=0) for i in range(0, n, _GAPS))
+    weight = np.log((n + 1) / (held + 0.5)).astype(np.float32)
     dot = lambda x, y: np.einsum("ij,ij->i", x, y)
-    square = dot(sums, sums)
-    before, after = slice(0, n - 1), slice(block, n - 1 + block)
-    norm = np.sqrt(square[before] * square[after])
-    sim = np.where(norm > 0, dot(sums[before], sums[after]) / np.maximum(norm, 1e-9), 0.0)
+    sim = np.empty(n - 1)
+    for lo in range(1, n, _GAPS):  # gaps lo to hi, with the units that their windows reach
+        hi = min(n, lo + _GAPS)
+        first, last = max(0, lo - block), min(n, hi - 1 + block)
+        sums = _window_sums((counts(first, last) if whole is None else whole) * weight, block)  # row k: units first + k - block + 1 to first + k
+        square = dot(sums, sums)
+        at = np.arange(lo, hi) - first
+        norm = np.sqrt(square[at - 1] * square[at - 1 + block])
+        sim[lo - 1 : hi - 1] = np.where(norm > 0, dot(sums[at - 1], sums[at - 1 + block]) / np.maximum(norm, 1e-9), 0.0)
     padded = np.concatenate([np.full(block, -1.0), sim, np.full(block, -1.0)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, block + 1)
     return windows[: n - 1].max(axis=1) + windows[block : block + n - 1].max(axis=1) - 2 * sim
