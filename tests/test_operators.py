@@ -201,3 +201,27 @@ def test_inference_in_batches(spark):
     got = {r["i"]: r["s"] for r in models.infer(df, ["t", "w"], load, "double", "s", batch=3).collect()}
     assert got == {i: None if i == 4 else i * 0.5 for i in range(10)}
     assert models.infer(df.where("false"), ["t", "w"], load, "double", "s").count() == 0
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_exact_percentiles_of_large_keys(spark, keys):
+    """The way of large keys gives what one group gives: ties, one value, nulls and few buckets included."""
+    rng = np.random.default_rng(6)
+    values = {"ties": rng.integers(0, 7, 900).astype(float), "normal": rng.normal(0, 1, 1500), "one": np.array([4.25]), "same": np.full(300, 2.0), "two": np.array([1.0, 9.0])}
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("ties", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    points = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {tuple(r[c] for c in keys): (r["n"], r["q"]) for r in robust.exact_percentiles(df, keys, "x", points, large=2, buckets=16).collect()}
+    want = {(k,): x for k, x in values.items()} if keys else {(): np.concatenate(list(values.values()))}
+    assert set(got) == set(want)
+    for k, x in want.items():
+        assert got[k][0] == len(x) and got[k][1] == pytest.approx(np.quantile(x, points))
+
+
+def test_nearest_within(spark):
+    at = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
+    left = [("a", i, at(s)) for i, s in enumerate((0, 100, 5_000, 86_400))] + [(None, 9, at(0)), ("a", 0, at(0))]
+    right = [("a", 1, at(-50)), ("a", 2, at(50)), ("a", 3, at(50)), ("a", 4, at(5_060)), ("b", 5, at(86_400)), ("a", 6, None)]
+    l, r = spark.createDataFrame(left, "k string, i int, ts timestamp_ntz"), spark.createDataFrame(right, "k string, j int, ts timestamp_ntz")
+    got = sorted((x["i"], x["j"], x["distance_s"]) for x in windows.nearest_within(l, r, ["k"], "ts", "i", "j", 60).collect())
+    assert got == [(0, 1, 50.0), (1, 2, 50.0), (2, 4, 60.0)]

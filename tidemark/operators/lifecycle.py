@@ -18,10 +18,15 @@ def segments(df: DataFrame, series: list[str], ts: str, label: str, max_gap_s: i
     return out.where(~F.col(label).isin(*drop)) if drop else out
 
 
+def _pool(incidents: DataFrame) -> DataFrame:
+    """The incidents, a pool that people keep, as one row with an array; every row is compared with the array, none is multiplied."""
+    return incidents.agg(F.collect_list(F.struct(*incidents.columns)).alias("pool_"))
+
+
 def overlapping(segs: DataFrame, incidents: DataFrame) -> DataFrame:
     """Segments that overlap any incident; incidents (a pool of few rows) have t_start and t_end."""
-    i = incidents.select("t_start", "t_end")
-    return segs.join(i, (F.col("start") <= F.col("t_end")) & (F.col("end") >= F.col("t_start")), "left_semi")
+    met = F.exists("pool_", lambda p: (F.col("start") <= p["t_end"]) & (F.col("end") >= p["t_start"]))
+    return segs.join(_pool(incidents.select("t_start", "t_end"))).where(met).select(segs.columns)
 
 
 def phase(ts: Column, peak: Column, response: Column) -> Column:
@@ -30,23 +35,24 @@ def phase(ts: Column, peak: Column, response: Column) -> Column:
 
 def in_incident(df: DataFrame, incidents: DataFrame, ts: str) -> DataFrame:
     """Rows with the incident that holds their time and its phase; a row in two incidents comes out twice."""
-    j = df.join(incidents, (F.col(ts) >= F.col("t_start")) & (F.col(ts) <= F.col("t_end")))
+    held = F.filter("pool_", lambda p: (F.col(ts) >= p["t_start"]) & (F.col(ts) <= p["t_end"]))
+    j = df.join(_pool(incidents)).select(*df.columns, F.inline(held))
     return j.withColumn("phase", phase(F.col(ts), F.col("t_peak"), F.col("t_resp")))
 
 
 def first_warnings(df: DataFrame, incidents: DataFrame, ts: str, label: str) -> DataFrame:
     """One row for each incident: first alarm, its label, minutes before peak and response, alarms by label; zeros if none."""
     alarms = df.where(F.col(label) != "N").select(F.col(ts).alias("t_"), F.col(label).alias("l_"))
-    j = incidents.join(alarms, (F.col("t_") >= F.col("t_start")) & (F.col("t_") <= F.col("t_end")), "left")
-    lead = lambda c: (F.unix_timestamp(c) - F.unix_timestamp(F.min("t_"))) / 60.0
-    return j.groupBy("incident_id", "level", "t_peak", "t_resp").agg(
+    # aggregated by incident first, with map-side combine; a row for each incident is joined back
+    seen = in_incident(alarms, incidents.select("incident_id", "t_start", "t_end", "t_peak", "t_resp"), "t_").groupBy("incident_id").agg(
         F.min("t_").alias("first_alarm"),
         F.min_by("l_", F.struct("t_", "l_")).alias("first_label"),
-        lead(F.col("t_peak")).alias("minutes_before_peak"),
-        lead(F.col("t_resp")).alias("minutes_before_response"),
         *(F.count_if(F.col("l_") == x).alias(f"n_{x.lower()}") for x in ("PA", "CA")),
         F.count("t_").alias("n_alarms"),
     )
+    lead = lambda c: (F.unix_timestamp(c) - F.unix_timestamp("first_alarm")) / 60.0
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return incidents.join(seen, "incident_id", "left").select("incident_id", "level", "t_peak", "t_resp", "first_alarm", "first_label", lead("t_peak").alias("minutes_before_peak"), lead("t_resp").alias("minutes_before_response"), zero("n_pa"), zero("n_ca"), zero("n_alarms"))
 
 
 def evidence(alarms: DataFrame, raw: DataFrame, alarm_id: str, at: str, ts: str, text: str, width_s: int = 900) -> DataFrame:

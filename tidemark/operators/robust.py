@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.transforms import clip
+from tidemark.session import materialize
 
 MAD = 1.4826
 
@@ -16,13 +17,54 @@ def melt(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+#: Values of one key from which its exact percentiles are taken from counts of buckets instead of one group; buckets of a key.
+LARGE, BUCKETS = 1_000_000, 1_000
+
+
+def exact_percentiles(long: DataFrame, keys: list[str], x: str, points: list[float], large: int = LARGE, buckets: int = BUCKETS) -> DataFrame:
+    """(keys, n, q ARRAY<DOUBLE>): the exact percentiles, linear between neighbours, of each key's values that aren't null.
+
+    A key of few values is one group. Of a large one, about equal buckets are cut at approximate quantiles (a sketch with
+    map-side combine), counted, and only the buckets that hold a wanted rank, a few thousandths of the values each, are
+    put in order: exact, and no task holds a key's values. Both ways give the same numbers.
+    """
+    d = long.select(*keys, F.col(x).cast("double").alias("x_")).where(F.col("x_").isNotNull())
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x_", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts_")) if keys else d.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x_", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts_"))
+    sizes = materialize(sizes.withColumn("cuts_", F.array_distinct("cuts_")), "sizes")
+    on = lambda a, b: a.join(b, keys) if keys else a.join(b)
+    plain = on(d, sizes.where(F.col("n") < large).select(*keys, "n")).groupBy(*keys, "n").agg(F.percentile("x_", points).alias("q"))
+    if not sizes.where(F.col("n") >= large).limit(1).count():
+        return plain.select(*keys, "n", "q")
+    big = sizes.where(F.col("n") >= large)
+    # the bucket of a value: how many cuts lie below it, by halving
+    at = F.col("cuts_")
+    lo, hi = F.lit(0), F.size(at)
+    b = on(d, big)
+    b = b.withColumns({"lo_": lo, "hi_": hi})
+    for _ in range(buckets.bit_length()):
+        mid = F.floor((F.col("lo_") + F.col("hi_")) / 2).cast("int")
+        below = (F.col("lo_") < F.col("hi_")) & (F.get(at, mid) < F.col("x_"))
+        b = b.select(*keys, "n", "cuts_", "x_", F.when(below, mid + 1).otherwise(F.col("lo_")).alias("lo_"), F.when((F.col("lo_") < F.col("hi_")) & ~below, mid).otherwise(F.col("hi_")).alias("hi_"))
+    b = materialize(b.select(*keys, "n", "x_", F.col("lo_").alias("b_")), "buckets")
+    counts = b.groupBy(*keys, "n", "b_").agg(F.count(F.lit(1)).alias("m_"))  # `buckets` rows for each key
+    before = counts.withColumn("from_", F.coalesce(F.sum("m_").over(Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(p * (F.col("n") - 1)), F.ceil(p * (F.col("n") - 1))) for p in points))))
+    wanted = before.select(*keys, "b_", "from_", F.filter(ranks, lambda k: (k >= F.col("from_")) & (k < F.col("from_") + F.col("m_"))).alias("ranks_")).where(F.size("ranks_") > 0)
+    rows = b.join(wanted, [*keys, "b_"]).withColumn("k_", F.col("from_") + F.row_number().over(Window.partitionBy(*keys, "b_").orderBy("x_")) - 1)
+    values = rows.where(F.array_contains("ranks_", F.col("k_").cast("bigint"))).groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("k_", "x_"))).alias("v_"))  # two values for each point
+    at_rank = lambda p: F.element_at("v_", F.floor(p * (F.col("n") - 1)).cast("bigint")) + (p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1))) * (F.element_at("v_", F.ceil(p * (F.col("n") - 1)).cast("bigint")) - F.element_at("v_", F.floor(p * (F.col("n") - 1)).cast("bigint")))
+    return plain.select(*keys, "n", "q").unionByName(values.select(*keys, "n", F.array(*map(at_rank, points)).alias("q")))
+
+
 def robust_scale(long: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, median, scale, p5, p95): scale is 1.4826 MAD, or where the median is about zero the largest of P90, half the deviation and 1e-6.
 
     Two aggregations: the medians, then the deviations from them.
     """
-    first = long.groupBy(*keys).agg(F.median("value").alias("median"), F.percentile("value", 0.9).alias("p90_"), F.stddev_pop("value").alias("sd_"), F.percentile("value", 0.05).alias("p5"), F.percentile("value", 0.95).alias("p95"))
-    dev = long.join(first.select(*keys, "median"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad_"))
+    q = exact_percentiles(long, keys, "value", [0.5, 0.9, 0.05, 0.95]).select(*keys, *(F.col("q")[i].alias(c) for i, c in enumerate(("median", "p90_", "p5", "p95"))))
+    first = materialize(q, "quantiles").join(long.groupBy(*keys).agg(F.stddev_pop("value").alias("sd_")), keys)
+    away = long.join(first.select(*keys, "median"), keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("away_"))
+    dev = exact_percentiles(away, keys, "away_", [0.5]).select(*keys, F.col("q")[0].alias("mad_"))
     flat = F.greatest(F.col("p90_"), 0.5 * F.col("sd_"), F.lit(1e-6))
     scale = F.when(F.abs("median") < 1e-10, flat).otherwise(F.greatest(MAD * F.col("mad_"), F.lit(1e-6)))
     return first.join(dev, keys).select(*keys, "median", scale.alias("scale"), "p5", "p95")
@@ -36,7 +78,8 @@ def robust_z(long: DataFrame, params: DataFrame, keys: list[str], limit: float =
 def percentile_profile(long: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
     """(keys, n, mean, std, lowest, highest, zero_ratio, profile ARRAY<DOUBLE>)."""
     grid = [i / (points - 1) for i in range(points)]
-    return long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.avg(F.when(F.col("value") == 0, 1.0).otherwise(0.0)).alias("zero_ratio"), F.percentile("value", grid).alias("profile"))
+    q = exact_percentiles(long, keys, "value", grid).select(*keys, F.col("q").alias("profile"))
+    return long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.avg(F.when(F.col("value") == 0, 1.0).otherwise(0.0)).alias("zero_ratio")).join(q, keys)
 
 
 def moments(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,9 +154,9 @@ def wasserstein(a: DataFrame, b: DataFrame, keys: list[str], x: str) -> DataFram
 
 def spikes(df: DataFrame, partition: list[str], x: str, k: float = 10.0) -> DataFrame:
     """df with is_spike: outside the 1 % and 99 % quantiles by k times their span."""
-    q = df.groupBy(*partition).agg(F.percentile(x, 0.01).alias("q1_"), F.percentile(x, 0.99).alias("q9_"))
+    q = exact_percentiles(df, partition, x, [0.01, 0.99]).select(*partition, F.col("q")[0].alias("q1_"), F.col("q")[1].alias("q9_"))
     span = F.col("q9_") - F.col("q1_")
-    return df.join(q, partition).withColumn("is_spike", F.coalesce((F.col(x) < F.col("q1_") - k * span) | (F.col(x) > F.col("q9_") + k * span), F.lit(False))).drop("q1_", "q9_")
+    return df.join(q, partition, "left").withColumn("is_spike", F.coalesce((F.col(x) < F.col("q1_") - k * span) | (F.col(x) > F.col("q9_") + k * span), F.lit(False))).drop("q1_", "q9_")
 
 
 def fix_runs(df: DataFrame, partition: list[str], order: str, x: str, bad: str) -> DataFrame:

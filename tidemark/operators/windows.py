@@ -68,6 +68,22 @@ def nearest_slot(ts: Column, width_s: int = 900) -> Column:
     return (F.floor((F.unix_timestamp(ts) + width_s / 2) / width_s) * width_s).cast("bigint")
 
 
+def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], ts: str, left_id: str, right_id: str, tolerance_s: int) -> DataFrame:
+    """(keys, left_id, ts, right_id, distance_s): the right row nearest in time within the tolerance; the earlier, then the
+    smaller id where two are equally near. Left rows without one give none.
+
+    An equi-join on the keys and a time block, so a hot key is many groups; a right row goes to one or two blocks. The
+    nearest is picked by an aggregation with map-side combine.
+    """
+    width, us = 8 * tolerance_s * 1_000_000, lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    l = left.select(*keys, F.col(left_id).alias("l_"), F.col(ts), us(ts).alias("t_")).withColumn("block_", F.floor(F.col("t_") / width))
+    reach = F.array_distinct(F.array(*(F.floor((F.col("u_") + d * tolerance_s * 1_000_000) / width) for d in (-1, 1))))
+    r = right.select(*keys, F.col(right_id).alias("r_"), us(ts).alias("u_")).withColumn("block_", F.explode(reach))
+    near = l.join(r, [*keys, "block_"]).where(F.abs(F.col("u_") - F.col("t_")) <= tolerance_s * 1_000_000)
+    best = near.groupBy(*keys, "l_", ts).agg(F.min(F.struct(F.abs(F.col("u_") - F.col("t_")).alias("d"), F.col("u_").alias("u"), F.col("r_").alias("r"))).alias("b_"))
+    return best.select(*keys, F.col("l_").alias(left_id), ts, F.col("b_.r").alias(right_id), (F.col("b_.d") / 1_000_000).alias("distance_s"))
+
+
 def interval_label(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str, name: str, closed: bool = False) -> DataFrame:
     """points with the name of the first interval (by start, then name) that holds their time; null where none does.
 

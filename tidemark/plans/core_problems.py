@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import timestamps
+from tidemark.plans import time_sql
 from tidemark.sources.tables import table
 
 #: table, its id, its fields with time strings
@@ -51,4 +52,18 @@ def p4_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_fields": p4_fields, "p4_zones": p4_zones}
-ORACLES: dict[str, str] = {}
+
+def _long_sql() -> str:
+    """Every time string with its reading, by another engine; undeclared zones in the default, as the estimate finds them."""
+    parts, names = [], []
+    for name, key, fields in FIELDS:
+        for f in fields:
+            parts.append(time_sql.reading(f"x_{f}", name, f"'{name}' AS table_name, CAST({key} AS VARCHAR) AS rec_id, '{f}' AS field_name, {f} AS value", f))
+            names.append(f"SELECT * FROM x_{f}")
+    return f"WITH {', '.join(parts)}, x AS ({' UNION ALL '.join(names)})"
+
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"{_long_sql()} SELECT DISTINCT table_name, rec_id, field_name, utc_seconds FROM x WHERE utc_seconds IS NOT NULL AND NOT is_standard",
+    "p4_fields": f"{_long_sql()} SELECT table_name, field_name, count(*) AS n_rows, count(value) AS n_values, count(utc_seconds) AS n_instants, count(*) FILTER (is_standard) AS n_standard, min(utc_seconds) AS first_utc, max(utc_seconds) AS last_utc FROM x GROUP BY ALL",
+}

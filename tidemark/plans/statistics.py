@@ -267,6 +267,14 @@ def grade_card(spark: SparkSession, d: str) -> DataFrame:
     return s.select("feature", r(em, 5).alias("mean_error"), r(es, 5).alias("std_error"), grade.alias("grade"))
 
 
+@query(f"WITH {OFFICIAL}, {WINDOWS} SELECT official_uid, post_id, ts, window_id, round(abs(epoch_us(t) - epoch_us(ts)) / 1000000.0, 3) AS distance_s FROM (SELECT o.official_uid, o.post_id, o.ts, f.window_id, f.\"timestamp\" AS t, row_number() OVER (PARTITION BY o.official_uid, o.post_id, o.ts ORDER BY abs(epoch_us(f.\"timestamp\") - epoch_us(o.ts)), f.\"timestamp\", f.window_id) AS k FROM (SELECT DISTINCT official_uid, post_id, ts FROM official WHERE ts IS NOT NULL) o JOIN w19 f ON o.official_uid = f.official_uid AND f.\"timestamp\" BETWEEN o.ts - INTERVAL 900 SECOND AND o.ts + INTERVAL 900 SECOND) WHERE k = 1")
+def nearest_window(spark: SparkSession, d: str) -> DataFrame:
+    """J2: each official post with the window of its account that is nearest within a quarter of an hour."""
+    posts = official(spark, d).where("ts IS NOT NULL").select("official_uid", "post_id", "ts").distinct()
+    w = windows(spark, d).select("official_uid", "window_id", F.col("timestamp").alias("ts"))
+    return wn.nearest_within(posts, w, ["official_uid"], "ts", "post_id", "window_id", 900).withColumn("distance_s", F.round("distance_s", 3))
+
+
 _EVENTS = f"{OFFICIAL}, ev AS (SELECT DISTINCT CAST(floor((epoch(ts) + 450) / 900) AS BIGINT) AS slot, category FROM official WHERE ts IS NOT NULL AND category IS NOT NULL)"
 _VOL = "vol AS (SELECT CAST(floor(epoch(\"timestamp\") / 900) AS BIGINT) AS slot, CAST(sum(total_volume_comment) AS DOUBLE) AS x FROM w19 GROUP BY 1)"
 
