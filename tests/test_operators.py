@@ -225,3 +225,51 @@ def test_nearest_within(spark):
     l, r = spark.createDataFrame(left, "k string, i int, ts timestamp_ntz"), spark.createDataFrame(right, "k string, j int, ts timestamp_ntz")
     got = sorted((x["i"], x["j"], x["distance_s"]) for x in windows.nearest_within(l, r, ["k"], "ts", "i", "j", 60).collect())
     assert got == [(0, 1, 50.0), (1, 2, 50.0), (2, 4, 60.0)]
+
+
+def test_families_and_orders():
+    """Each family and volatility form is chosen where the values come from it, with parameters near the true ones."""
+    rng = np.random.default_rng(7)
+    n = 3000
+    drawn = {"normal": rng.normal(2, 3, n), "lognormal": rng.lognormal(0.5, 0.8, n), "pareto": 2 * (1 + rng.pareto(3, n)), "beta": rng.beta(2, 5, n), "mixture": np.concatenate([rng.normal(-3, 1, n // 3), rng.normal(4, 0.5, n)])}
+    fits = {k: models.fit_family(x) for k, x in drawn.items()}
+    assert {k: f["kind"] for k, f in fits.items()} == {k: k for k in drawn}
+    assert fits["beta"]["params"] == pytest.approx([2, 5], rel=0.1) and fits["pareto"]["params"][1] == pytest.approx(3, rel=0.1)
+    zero = np.where(rng.random(n) < 0.4, 0, rng.negative_binomial(3, 0.3, n)).astype(float)
+    c = models.fit_counts(zero)
+    assert c["kind"] == "zero_inflated" and c["zero"] == pytest.approx(0.38, abs=0.06) and c["mean"] == pytest.approx(7, abs=0.5)
+    assert models.fit_family(np.ones(50))["kind"] == "point" and models.fit_family(np.array([]))["kind"] == "point"
+
+    def simulate(kind, a, b, g, errors, n=2500):
+        h, e, log_h = [1.0] * 2, [0.1, 0.1], 0.0
+        for _ in range(n):
+            z = rng.standard_normal() if errors == "normal" else rng.standard_t(4) / math.sqrt(2)
+            if kind == "egarch":
+                last = e[-1] * math.exp(-0.5 * log_h)
+                log_h = a[0] * (abs(last) - math.sqrt(2 / math.pi)) + g * last + b[0] * log_h
+                h.append(math.exp(log_h))
+            else:
+                h.append(0.1 + sum(w * e[-k] ** 2 for k, w in enumerate(a, 1)) + g * (e[-1] < 0) * e[-1] ** 2 + sum(w * h[-k] for k, w in enumerate(b, 1)))
+            e.append(math.sqrt(h[-1]) * z)
+        return np.array(e)
+
+    heavy = models.garch_fit(simulate("garch", [0.15], [0.75], 0.0, "student"))
+    assert heavy["errors"] == "student" and 0.75 < heavy["persistence"] <= 0.995
+    sided = models.garch_fit(simulate("egarch", [0.2], [0.9], -0.25, "normal"), forms=(("garch", 1, 1), ("egarch", 1, 1)))
+    assert sided["kind"] == "egarch" and sided["gamma"] < -0.1 and sided["beta"] == pytest.approx(0.9, abs=0.07)
+    x = simulate("egarch", [0.2], [0.9], -0.25, "normal")
+    assert len(models.fitted_variance(x, sided)) == len(x) and (models.fitted_variance(x, sided) > 0).all()
+    second = models.garch_fit(simulate("garch", [0.05, 0.5], [0.2], 0.0, "normal"), forms=(("garch", 1, 1), ("garch", 2, 1)))
+    assert len(second["alphas"]) == 2
+
+
+def test_normality_partials_and_exponents():
+    rng = np.random.default_rng(8)
+    assert models.shapiro_francia(rng.standard_normal(500))[1] > 0.05 > 1e-4 > models.shapiro_francia(rng.exponential(1, 500))[1]
+    ar = models.ar_simulate(rng.standard_normal(6000), np.array([0.0, 0.5, -0.4]), (1, 2))
+    p = models.partial_autocorrelations(ar, 5)
+    assert p[1] == pytest.approx(-0.4, abs=0.05) and np.abs(p[2:]).max() < 0.06
+    assert models.fit_lambda(rng.lognormal(0, 1, 4000)) == pytest.approx(0, abs=0.05)
+    assert models.fit_lambda((rng.normal(5, 0.5, 4000)) ** 2) == pytest.approx(0.5, abs=0.25)
+    assert models.fit_lambda(rng.normal(0, 1, 4000), "yeo_johnson") == pytest.approx(1, abs=0.1)
+    assert models.fit_lambda(np.ones(9)) == 1.0

@@ -46,47 +46,95 @@ def ar_simulate(shocks: np.ndarray, beta: np.ndarray, lags: tuple[int, ...]) ->
     return out
 
 
-def garch_variance(e: np.ndarray, omega: float, alpha: float, beta: float, gamma: float = 0.0) -> np.ndarray:
-    """Conditional variances; gamma weighs negative shocks."""
-    h = np.empty(len(e))
-    h[0] = max(1e-12, e.var())
-    for t in range(1, len(e)):
-        h[t] = omega + (alpha + gamma * (e[t - 1] < 0)) * e[t - 1] ** 2 + beta * h[t - 1]
-    return np.maximum(h, 1e-12)
+def garch_variance(e: np.ndarray, omega: float, alpha, beta, gamma: float = 0.0, kind: str = "garch") -> np.ndarray:
+    """Conditional variances of GARCH(p,q), its asymmetric form (gamma weighs negative shocks) or EGARCH(1,1).
 
-
-def garch_fit(e: np.ndarray, cap: float = 0.995) -> dict:
-    """Best of GARCH(1,1) and its asymmetric form by AIC, normal likelihood; persistence is kept under the cap."""
+    alpha, beta: a number or the coefficients by lag. EGARCH is a recursion of log variances in the size and sign of the
+    standardised shock: alpha weighs its size, gamma its sign.
+    """
+    a, c = np.atleast_1d(np.asarray(alpha, float)).tolist(), np.atleast_1d(np.asarray(beta, float)).tolist()
+    start = max(1e-12, float(e.var())) if len(e) else 1.0
+    x, h = e.tolist(), [start] * len(e)
+    if kind == "egarch":
+        mean, log_h = math.sqrt(2 / math.pi), math.log(start)
+        for t in range(1, len(x)):
+            z = x[t - 1] * math.exp(-0.5 * log_h)
+            log_h = min(50.0, max(-50.0, omega + a[0] * (abs(z) - mean) + gamma * z + c[0] * log_h))
+            h[t] = math.exp(log_h)
+        return np.maximum(np.array(h), 1e-12)
+    for t in range(1, len(x)):
+        v = omega + (gamma * x[t - 1] ** 2 if x[t - 1] < 0 else 0.0)
+        for k, w in enumerate(a, 1):
+            v += w * (x[t - k] ** 2 if t >= k else start)
+        for k, w in enumerate(c, 1):
+            v += w * (h[t - k] if t >= k else start)
+        h[t] = v
+    return np.maximum(np.array(h), 1e-12)
+
+
+#: Volatility forms: kind, lags of shocks, lags of variances.
+FORMS = (("garch", 1, 1), ("garch", 1, 2), ("garch", 2, 1), ("garch", 2, 2), ("gjr", 1, 1), ("egarch", 1, 1))
+
+
+def garch_fit(e: np.ndarray, cap: float = 0.995, forms: tuple = FORMS) -> dict:
+    """The form and error distribution (normal, Student) of least AIC; persistence is kept under the cap.
+
+    alpha, beta: the sums over lags; alphas, betas: by lag. Too short or flat a series has a constant variance.
+    """
     e = e - e.mean() if len(e) else e
     var = float(e.var()) if len(e) else 0.0
-    flat = {"kind": "constant", "omega": var, "alpha": 0.0, "beta": 0.0, "gamma": 0.0, "aic": math.inf, "persistence": 0.0}
+    flat = {"kind": "constant", "errors": "normal", "omega": var, "alpha": 0.0, "beta": 0.0, "gamma": 0.0, "df": 0.0, "aic": math.inf, "persistence": 0.0, "alphas": [0.0], "betas": [0.0]}
     if len(e) < 50 or var <= 1e-12:
         return flat
     z = e / math.sqrt(var)
-
-    def unpack(p: np.ndarray, asym: bool) -> tuple[float, float, float, float]:
-        total = cap / (1 + math.exp(-p[0]))
-        share = 1 / (1 + math.exp(-p[1]))
-        g = 1 / (1 + math.exp(-p[2])) if asym else 0.0
+    sig = lambda v: 1 / (1 + math.exp(-min(30.0, max(-30.0, v))))
+
+    def unpack(kind: str, p: int, q: int, v: np.ndarray) -> tuple:
+        """(omega, alphas, betas, gamma) of free parameters; the variance of the whole is that of the series, 1."""
+        if kind == "egarch":
+            b = cap * sig(v[0])
+            return float(v[2]) * 0.1, [float(v[1])], [b], float(v[3])
+        total, share = cap * sig(v[0]), sig(v[1])
+        split = lambda whole, n, at: [whole] if n == 1 else [whole * sig(v[at]), whole * (1 - sig(v[at]))]
+        at = 2
+        g = 0.0
         a = total * share
-        return 1 - total, a * (1 - g), total - a, 2 * a * g
-
-    best = flat
-    for asym in (False, True):
-
-        def loss(p: np.ndarray, asym: bool = asym) -> float:
-            o, a, b, g = unpack(p, asym)
-            h = garch_variance(z, o, a, b, g)
+        if kind == "gjr":
+            g = 2 * a * sig(v[at])
+            a, at = a - g / 2, at + 1
+        alphas = split(a, p, at)
+        return 1 - total, alphas, split(total * (1 - share), q, at + (p > 1)), g
+
+    def loss(h: np.ndarray, df: float) -> float:
+        if df <= 0:
             return 0.5 * float(np.sum(np.log(2 * math.pi * h) + z * z / h))
-
-        p = mathx.nelder_mead(loss, [1.5, -1.5, -1.0] if asym else [1.5, -1.5], most=150)
-        o, a, b, g = unpack(p, asym)
-        aic = 2 * loss(p) + 2 * len(p)
-        if aic < best["aic"]:
-            best = {"kind": "gjr" if asym else "garch", "omega": o * var, "alpha": a, "beta": b, "gamma": g, "aic": aic, "persistence": a + b + g / 2}
+        c = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(math.pi * (df - 2))
+        return float(np.sum(0.5 * np.log(h) + (df + 1) / 2 * np.log1p(z * z / (h * (df - 2))))) - len(z) * c
+
+    best, free = flat, {}
+    for kind, p, q in forms:
+        start = [2.0, 0.1, 0.0, 0.0] if kind == "egarch" else [1.5, -1.5] + ([-1.0] if kind == "gjr" else []) + [1.0] * ((p > 1) + (q > 1))
+        v = mathx.nelder_mead(lambda v, f=(kind, p, q): loss(garch_variance(z, *unpack(*f, v), f[0]), 0.0), start, most=60 * len(start))
+        h = garch_variance(z, *unpack(kind, p, q, v), kind)
+        # heavy tails: the degrees of freedom that fit the standardised shocks best
+        df = min((loss(h, d), d) for d in (2.5, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 15.0, 30.0))[1]
+        for errors, d in (("normal", 0.0), ("student", df)):
+            aic = 2 * loss(h, d) + 2 * (len(v) + (d > 0))
+            if aic < best["aic"]:
+                o, a, b, g = unpack(kind, p, q, v)
+                scale = var if kind != "egarch" else 1.0
+                o = o * scale if kind != "egarch" else o + (1 - b[0]) * math.log(var)
+                best = {"kind": kind, "errors": errors, "omega": o, "alpha": sum(a), "beta": sum(b), "gamma": g, "df": d, "aic": aic, "persistence": b[0] if kind == "egarch" else sum(a) + sum(b) + g / 2, "alphas": a, "betas": b}
     return best
 
 
+def fitted_variance(e: np.ndarray, g: dict) -> np.ndarray:
+    """The conditional variances of a fit of `garch_fit`."""
+    if g["kind"] == "constant":
+        return np.full(len(e), max(g["omega"], 1e-12))
+    return garch_variance(e, g["omega"], g["alphas"], g["betas"], g["gamma"], g["kind"])
+
+
 def ljung_box(e: np.ndarray, lags: int = 10) -> tuple[float, float]:
     e = e - e.mean()
     n, d = len(e), float((e * e).sum())
@@ -137,19 +185,136 @@ def fit_marginal(x: np.ndarray) -> dict:
     return {"kind": kind, "loc": m, "scale": s if kind != "student" else st, "df": df if kind == "student" else 0.0, "ks": d, "p": p}
 
 
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
 def fit_counts(x: np.ndarray) -> dict:
-    """Poisson or negative binomial for counts, by moments and AIC."""
+    """Poisson, negative binomial or zero-inflated negative binomial for counts, by AIC; zero: the share of extra zeros.
+
+    Extra zeros must gain as much as BIC asks: the families are nested, and AIC would find some in one plain sample of six.
+    """
     x = x[np.isfinite(x) & (x >= 0)].round()
     m, v = (float(x.mean()), float(x.var())) if len(x) else (0.0, 0.0)
-    lg = np.vectorize(math.lgamma, otypes=[float])
     if m <= 0:
-        return {"kind": "poisson", "mean": m, "size": 0.0, "aic": 0.0}
-    poisson = -2 * float((x * math.log(m) - m - lg(x + 1)).sum()) + 2
-    if v <= m:
-        return {"kind": "poisson", "mean": m, "size": 0.0, "aic": poisson}
-    r = m * m / (v - m)
-    nb = -2 * float((lg(x + r) - math.lgamma(r) - lg(x + 1) + r * math.log(r / (r + m)) + x * math.log(m / (r + m))).sum()) + 4
-    return {"kind": "poisson", "mean": m, "size": 0.0, "aic": poisson} if poisson <= nb else {"kind": "negative_binomial", "mean": m, "size": r, "aic": nb}
+        return {"kind": "poisson", "mean": m, "size": 0.0, "zero": 0.0, "aic": 0.0}
+    fits = [{"kind": "poisson", "mean": m, "size": 0.0, "zero": 0.0, "aic": -2 * float((x * math.log(m) - m - _lgamma(x + 1)).sum()) + 2}]
+
+    def negative(mean: float, size: float) -> np.ndarray:
+        return _lgamma(u + size) - math.lgamma(size) - _lgamma(u + 1) + size * math.log(size / (size + mean)) + u * math.log(mean / (size + mean))
+
+    u, times = np.unique(x, return_counts=True)
+    if v > m:
+        size = mathx.nelder_mead(lambda q: -float((times * negative(m, math.exp(min(12.0, max(-12.0, q[0]))))).sum()), [math.log(m * m / (v - m))], most=80)
+        r = math.exp(min(12.0, max(-12.0, float(size[0]))))
+        fits.append({"kind": "negative_binomial", "mean": m, "size": r, "zero": 0.0, "aic": -2 * float((times * negative(m, r)).sum()) + 4})
+    if v > m and u[0] == 0 and len(u) > 2:
+
+        def loss(p: np.ndarray) -> float:
+            q = np.clip(p, -12, 12)
+            z = 1 / (1 + math.exp(-q[0]))
+            like = math.log(1 - z) + negative(math.exp(q[1]), math.exp(q[2]))
+            like[0] = math.log(z + (1 - z) * math.exp(min(0.0, like[0] - math.log(1 - z))))
+            return -float((times * like).sum())
+
+        p = np.clip(mathx.nelder_mead(loss, [-1.0, math.log(m), 0.5], most=250), -12, 12)
+        fits.append({"kind": "zero_inflated", "mean": math.exp(p[1]), "size": math.exp(p[2]), "zero": 1 / (1 + math.exp(-p[0])), "aic": 2 * loss(p) + 6})
+    return min(fits, key=lambda f: f["aic"] + (math.log(len(x)) - 2 if f["kind"] == "zero_inflated" else 0.0))
+
+
+def fit_family(x: np.ndarray) -> dict:
+    """(kind, params, aic) of the continuous family of least AIC: normal, lognormal, Pareto, Beta, or a mixture of two normals.
+
+    Families that the range of the values rules out aren't tried: lognormal and Pareto need positive values, Beta values
+    between 0 and 1. Fewer than ten values, or equal ones, have the kind 'point'.
+    """
+    x = np.sort(x[np.isfinite(x)])
+    n = len(x)
+    if n < 10 or x[-1] - x[0] <= 0:
+        return {"kind": "point", "params": [float(x[0]) if n else 0.0], "aic": 0.0}
+    m, s = float(x.mean()), float(x.std())
+    log_normal = lambda v, mean, sd: -0.5 * ((v - mean) / sd) ** 2 - math.log(sd * math.sqrt(2 * math.pi))
+    fits = [("normal", [m, s], float(log_normal(x, m, s).sum()))]
+    if x[0] > 0:
+        y = np.log(x)
+        fits.append(("lognormal", [float(y.mean()), float(y.std())], float((log_normal(y, y.mean(), max(1e-9, y.std())) - y).sum())))
+        shape = n / max(1e-9, float((y - y[0]).sum()))
+        fits.append(("pareto", [float(x[0]), shape], float(n * math.log(shape) + n * shape * y[0] - (shape + 1) * y.sum())))
+    if x[0] > 0 and x[-1] < 1 and s * s < m * (1 - m):
+        k = m * (1 - m) / (s * s) - 1
+        a, b = m * k, (1 - m) * k
+        fits.append(("beta", [a, b], float(((a - 1) * np.log(x) + (b - 1) * np.log1p(-x)).sum() + n * (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)))))
+    # two normals by expectation and maximisation from the halves, no narrower than a hundredth of the whole
+    w, mean, sd = np.array([0.5, 0.5]), np.array([x[: n // 2].mean(), x[n // 2 :].mean()]), np.array([s, s])
+    for _ in range(200):
+        like = np.log(w)[:, None] + np.stack([log_normal(x, mean[i], sd[i]) for i in (0, 1)])
+        total = np.logaddexp(like[0], like[1])
+        p = np.exp(like - total)
+        w = np.maximum(p.sum(axis=1) / n, 1e-6)
+        moved = (p @ x) / (w * n)
+        sd = np.maximum(np.sqrt(np.stack([p[i] @ (x - moved[i]) ** 2 for i in (0, 1)]) / (w * n)), s / 100)
+        still = np.abs(moved - mean).max() < 1e-7 * s
+        mean = moved
+        if still:
+            break
+    like = np.log(w)[:, None] + np.stack([log_normal(x, mean[i], sd[i]) for i in (0, 1)])
+    fits.append(("mixture", [float(w[0]), *map(float, mean), *map(float, sd)], float(np.logaddexp(like[0], like[1]).sum())))
+    kind, params, best = min(fits, key=lambda f: 2 * len(f[1]) - 2 * f[2])
+    return {"kind": kind, "params": [float(v) for v in params], "aic": 2 * len(params) - 2 * best}
+
+
+def shapiro_francia(x: np.ndarray) -> tuple[float, float]:
+    """(W', p) of normality: squared correlation of the ordered values with normal scores, p by Royston's approximation."""
+    x = np.sort(x[np.isfinite(x)])
+    n = len(x)
+    if n < 5 or x[-1] - x[0] <= 0:
+        return 1.0, 1.0
+    scores = mathx.norm_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    w = float(np.corrcoef(x, scores)[0, 1] ** 2)
+    u = math.log(n)
+    v = math.log(u)
+    mean, sd = -1.2725 + 1.0521 * (v - u), 1.0308 - 0.26758 * (v + 2 / u)
+    return w, float(1 - mathx.norm_cdf((math.log(max(1e-15, 1 - w)) - mean) / sd))
+
+
+def partial_autocorrelations(x: np.ndarray, most: int) -> np.ndarray:
+    """Partial autocorrelations at the lags 1 to most, by the recursion of Durbin and Levinson over the autocorrelations."""
+    x = x - x.mean() if len(x) else x
+    d = float(x @ x)
+    if len(x) <= most + 1 or d <= 0:
+        return np.zeros(most)
+    r = np.array([float(x[k:] @ x[: len(x) - k]) / d for k in range(most + 1)])
+    out, phi = np.zeros(most), np.zeros(0)
+    for k in range(1, most + 1):
+        rest = 1 - float(phi @ r[1:k]) if k > 1 else 1.0
+        last = (r[k] - float(phi @ r[1:k][::-1])) / max(1e-12, rest)
+        phi = np.append(phi - last * phi[::-1], last)
+        out[k - 1] = last
+    return out
+
+
+def fit_lambda(x: np.ndarray, kind: str = "box_cox") -> float:
+    """The exponent of a Box-Cox (values shifted above 0) or Yeo-Johnson transform of greatest normal likelihood, in [-3, 3]."""
+    x = x[np.isfinite(x)]
+    if len(x) < 5 or x.max() - x.min() <= 0:
+        return 1.0
+    if kind == "box_cox":
+        y = x - min(0.0, float(x.min())) + 1e-6
+        power = lambda v, k: np.log(v) if abs(k) < 1e-9 else (v**k - 1) / k
+        turn, slope = (lambda k: power(y, k)), float(np.log(y).sum())
+    else:
+        pos = x >= 0
+        up = lambda v, k: np.log1p(v) if abs(k) < 1e-9 else ((1 + v) ** k - 1) / k
+        turn = lambda k: np.where(pos, up(np.abs(x), k), -up(np.abs(x), 2 - k))
+        slope = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+
+    def loss(k: float) -> float:
+        return len(x) / 2 * math.log(max(1e-300, float(turn(k).var()))) - (k - 1) * slope
+
+    lo, hi, golden = -3.0, 3.0, (math.sqrt(5) - 1) / 2
+    for _ in range(60):
+        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
+        lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
+    return (lo + hi) / 2
 
 
 def decompose(t: np.ndarray, x: np.ndarray, changepoints: int = 5, day: int = 96, harmonics: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

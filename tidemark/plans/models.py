@@ -104,10 +104,10 @@ def ar_ols(spark: SparkSession, d: str) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         beta, res = md.ar_fit(md._series(pdf, "t", "total_volume_comment"), LAGS)
-        lb, arch, jb = md.ljung_box(res), md.arch_lm(res), md.jarque_bera(res)
-        return pd.DataFrame([[pdf["official_uid"].iloc[0], list(map(float, beta)), float(np.std(res)), lb[0], lb[1], arch[0], arch[1], jb[0], jb[1]]], columns=["official_uid", "beta", "sigma", "ljung_box", "p_ljung_box", "arch", "p_arch", "jarque_bera", "p_jarque_bera"])
+        lb, arch, jb, sf = md.ljung_box(res), md.arch_lm(res), md.jarque_bera(res), md.shapiro_francia(res)
+        return pd.DataFrame([[pdf["official_uid"].iloc[0], list(map(float, beta)), float(np.std(res)), lb[0], lb[1], arch[0], arch[1], jb[0], jb[1], sf[0], sf[1], md.partial_autocorrelations(md._series(pdf, "t", "total_volume_comment"), 10).tolist()]], columns=["official_uid", "beta", "sigma", "ljung_box", "p_ljung_box", "arch", "p_arch", "jarque_bera", "p_jarque_bera", "shapiro", "p_shapiro", "pacf"])
 
-    return md.per_series(_grid(spark, d), ["official_uid"], one, "official_uid string, beta array<double>, sigma double, ljung_box double, p_ljung_box double, arch double, p_arch double, jarque_bera double, p_jarque_bera double")
+    return md.per_series(_grid(spark, d), ["official_uid"], one, "official_uid string, beta array<double>, sigma double, ljung_box double, p_ljung_box double, arch double, p_arch double, jarque_bera double, p_jarque_bera double, shapiro double, p_shapiro double, pacf array<double>")
 
 
 @query()
@@ -117,10 +117,10 @@ def garch_fold(spark: SparkSession, d: str) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         _, res = md.ar_fit(md._series(pdf, "t", "total_volume_comment"), LAGS)
         g = md.garch_fit(res)
-        h = md.garch_variance(res, g["omega"], g["alpha"], g["beta"], g["gamma"]) if len(res) else np.zeros(1)
-        return pd.DataFrame([[pdf["official_uid"].iloc[0], g["kind"], g["omega"], g["alpha"], g["beta"], g["gamma"], g["persistence"], float(np.sqrt(h).mean()), 1.96 * float(np.sqrt(h[-1]))]], columns=["official_uid", "kind", "omega", "alpha", "beta", "gamma", "persistence", "mean_volatility", "band"])
+        h = md.fitted_variance(res, g) if len(res) else np.zeros(1)
+        return pd.DataFrame([[pdf["official_uid"].iloc[0], g["kind"], g["errors"], len(g["alphas"]), len(g["betas"]), g["omega"], g["alpha"], g["beta"], g["gamma"], g["persistence"], float(np.sqrt(h).mean()), 1.96 * float(np.sqrt(h[-1]))]], columns=["official_uid", "kind", "errors", "shock_lags", "variance_lags", "omega", "alpha", "beta", "gamma", "persistence", "mean_volatility", "band"])
 
-    return md.per_series(_grid(spark, d), ["official_uid"], one, "official_uid string, kind string, omega double, alpha double, beta double, gamma double, persistence double, mean_volatility double, band double")
+    return md.per_series(_grid(spark, d), ["official_uid"], one, "official_uid string, kind string, errors string, shock_lags int, variance_lags int, omega double, alpha double, beta double, gamma double, persistence double, mean_volatility double, band double")
 
 
 @query()
@@ -131,7 +131,7 @@ def ar_recursion(spark: SparkSession, d: str) -> DataFrame:
         pdf = pdf.sort_values("t")
         beta, res = md.ar_fit(md._series(pdf, "t", "total_volume_comment"), LAGS)
         g = md.garch_fit(res)
-        h = md.garch_variance(res, g["omega"], g["alpha"], g["beta"], g["gamma"]) if len(res) else np.zeros(1)
+        h = md.fitted_variance(res, g) if len(res) else np.zeros(1)
         seed = int(pdf["official_uid"].iloc[0]) % (1 << 31)
         shocks = np.sqrt(md.block_bootstrap(h, len(pdf), seed)) * np.random.default_rng(seed).standard_normal(len(pdf))
         return pd.DataFrame({"official_uid": pdf["official_uid"].iloc[0], "t": pdf["t"].to_numpy(), "synthetic": np.maximum(0.0, md.ar_simulate(shocks, beta, LAGS))})
@@ -158,11 +158,11 @@ def distribution_fits(spark: SparkSession, d: str) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf["value"].to_numpy(float)
         f = pdf["feature"].iloc[0]
-        m, c = md.fit_marginal(x), md.fit_counts(x) if f.startswith("total") else {"kind": "", "mean": 0.0, "size": 0.0}
-        return pd.DataFrame([[pdf["official_uid"].iloc[0], f, m["kind"], m["loc"], m["scale"], m["df"], m["ks"], m["p"], c["kind"], c["mean"], c["size"]]], columns=["official_uid", "feature", "kind", "loc", "scale", "df", "ks", "p", "counts", "mean", "size"])
+        m, c, y = md.fit_marginal(x), md.fit_counts(x) if f.startswith("total") else {"kind": "", "mean": 0.0, "size": 0.0, "zero": 0.0}, md.fit_family(x)
+        return pd.DataFrame([[pdf["official_uid"].iloc[0], f, m["kind"], m["loc"], m["scale"], m["df"], m["ks"], m["p"], c["kind"], c["mean"], c["size"], c["zero"], y["kind"], y["params"]]], columns=["official_uid", "feature", "kind", "loc", "scale", "df", "ks", "p", "counts", "mean", "size", "zero", "family", "params"])
 
     long = rb.melt(windows(spark, d), ["official_uid"], COLS)
-    return md.per_series(long, ["official_uid", "feature"], one, "official_uid string, feature string, kind string, loc double, scale double, df double, ks double, p double, counts string, mean double, size double")
+    return md.per_series(long, ["official_uid", "feature"], one, "official_uid string, feature string, kind string, loc double, scale double, df double, ks double, p double, counts string, mean double, size double, zero double, family string, params array<double>")
 
 
 @query()
