@@ -63,7 +63,17 @@ def _long_sql() -> str:
     return f"WITH {', '.join(parts)}, x AS ({' UNION ALL '.join(names)})"
 
 
+def _zones_sql() -> str:
+    """Each group's best offset history by the same rule: violations, then the freshest value's delay, then the default."""
+    lag = {z: f"(c - {time_sql._at('wall', repr(z))})" for z in timestamps.CANDIDATE_ZONES}
+    local = " UNION ALL ".join(f"SELECT table_name, field_name, z0, zone, form, wall, c FROM x_{f}_4" for _, _, fields in FIELDS for f in fields)
+    sums = ", ".join(f"count(*) FILTER ({v} < -{timestamps.SKEW}) AS v{i}, coalesce(min({v}) FILTER ({v} >= -{timestamps.SKEW}), {1 << 62}) AS m{i}" for i, v in enumerate(lag.values()))
+    each = ", ".join(f"{{'v': v{i}, 'm': m{i}, 'o': {int(z != timestamps.DEFAULT_ZONE)}, 'z': '{z}'}}" for i, z in enumerate(lag))
+    return f"{_long_sql()}, l AS (SELECT * FROM ({local}) WHERE wall IS NOT NULL AND zone IS NULL AND c IS NOT NULL AND form NOT IN ('day_word', 'no_year')), s AS (SELECT table_name, field_name, nullif(coalesce(z0, ''), '') AS declared, count(*) AS n_local, {sums} FROM l GROUP BY ALL), b AS (SELECT *, list_sort([{each}])[1] AS best FROM s) SELECT table_name, field_name, declared, n_local, best.v AS violations, CASE WHEN n_local >= {timestamps.LEAST_VALUES} THEN best.z ELSE '{timestamps.DEFAULT_ZONE}' END AS estimated FROM b"
+
+
 ORACLES: dict[str, str] = {
+    "p4_zones": _zones_sql(),
     "p4_found": f"{_long_sql()} SELECT DISTINCT table_name, rec_id, field_name, utc_seconds FROM x WHERE utc_seconds IS NOT NULL AND NOT is_standard",
     "p4_fields": f"{_long_sql()} SELECT table_name, field_name, count(*) AS n_rows, count(value) AS n_values, count(utc_seconds) AS n_instants, count(*) FILTER (is_standard) AS n_standard, min(utc_seconds) AS first_utc, max(utc_seconds) AS last_utc FROM x GROUP BY ALL",
 }

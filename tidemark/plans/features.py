@@ -340,7 +340,11 @@ def sentences_explode(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).where("text IS NOT NULL").select("post_id", F.explode(tx.sentences(F.col("text"))).alias("sentence"))
 
 
-@query()
+# words of Latin letters, runs of kana, pairs of ideographs; {0}: a text, as lists
+_TOKENS = "list_concat(regexp_extract_all(lower({0}), '[\\p{{Latin}}\\p{{M}}]{{2,}}|[\\p{{Hiragana}}\\p{{Katakana}}ー]{{2,}}'), flatten(list_transform(regexp_extract_all({0}, '\\p{{Han}}{{2,}}'), lambda h: list_transform(generate_series(1, length(h) - 1), lambda i: substr(h, i, 2)))))"
+
+
+@query(f"WITH {POSTS}, c AS (SELECT post_id, {_TOKENS.format(_STRICT.format('text'))} AS l FROM posts WHERE text IS NOT NULL) SELECT post_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS tokens FROM c")
 def deep_clean_dedup(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).where("text IS NOT NULL").select("post_id", tx.distinct_tokens(tx.strict(F.col("text"))).alias("tokens"))
 

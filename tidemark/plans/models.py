@@ -15,6 +15,7 @@ from tidemark.operators import topics as tp
 from tidemark.operators import visual as vs
 from tidemark.operators import windows as wn
 from tidemark.plans.common import OFFICIAL, POSTS, SLOT, WINDOWS, official, posts, r, windows
+from tidemark.plans.features import _STRICT, _TOKENS
 from tidemark.plans.statistics import COLS
 from tidemark.sources.html import cards, escaped
 from tidemark.sources.tables import table
@@ -278,11 +279,14 @@ def ctfidf_top_words(spark: SparkSession, d: str) -> DataFrame:
     return tp.top_words(tp.class_tf_idf(df, "source", tx.tokens(F.col("text"), other_scripts=True)), "source").select("source", "rank", r(F.col("weight")).alias("weight"))
 
 
-@query()
+_TFIDF = "t AS (SELECT {cls}, word, count(*) AS n FROM words GROUP BY ALL), a AS (SELECT word, sum(n) AS all_n FROM t GROUP BY 1), m AS (SELECT sum(n) / count(DISTINCT {cls}) AS a FROM t), r AS (SELECT t.*, n * ln(1 + m.a / (all_n + 1)) AS w FROM t JOIN a USING (word), m), k AS (SELECT {cls}, word, w / sum(w) OVER (PARTITION BY {cls}) AS weight FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY {cls} ORDER BY weight DESC, word) AS rank, max(weight) OVER (PARTITION BY {cls}) AS best FROM k)"
+
+
+@query(f"WITH {POSTS}, words AS (SELECT post_type, unnest({_TOKENS.format(_STRICT.format('text'))}) AS word FROM posts WHERE text IS NOT NULL), {_TFIDF.format(cls='post_type')} SELECT post_type, rank, word, round(weight, 8) AS weight FROM o WHERE rank <= 5 AND weight >= 0.1 * best")
 def topic_words(spark: SparkSession, d: str) -> DataFrame:
     """ML35 over words and pairs of ideographs, for each class of author posts."""
     df = posts(spark, d).where("text IS NOT NULL").select("post_type", tx.tokens(tx.strict(F.col("text"))).alias("toks"))
-    return tp.top_words(tp.class_tf_idf(df, "post_type", F.col("toks")), "post_type")
+    return tp.top_words(tp.class_tf_idf(df, "post_type", F.col("toks")), "post_type").withColumn("weight", r(F.col("weight"), 8))
 
 
 _CENTRES = "e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY ALL)"
@@ -297,7 +301,10 @@ def seed_topic_argmax(spark: SparkSession, d: str) -> DataFrame:
     return tp.nearest_topic(e, "vec_id", "embedding", centroids(e, ["label"], "embedding"), "label", "centroid").withColumn("similarity", r(F.col("similarity"), 5))
 
 
-@query()
+_COSINES = f"{_CENTRES}, pair AS (SELECT CAST(x.label AS VARCHAR) AS a, CAST(y.label AS VARCHAR) AS b, sum(x.m * y.m) / (sqrt(sum(x.m * x.m)) * sqrt(sum(y.m * y.m))) AS s FROM c x JOIN c y USING (i) GROUP BY ALL)"
+
+
+@query(f"WITH RECURSIVE {_COSINES}, near AS MATERIALIZED (SELECT a, b FROM pair WHERE a = b OR s >= 0.65), reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a) SELECT a AS topic, min(b) AS root FROM reach GROUP BY a")
 def centroid_merge(spark: SparkSession, d: str) -> DataFrame:
     """J15, ML37."""
     from tidemark.operators.features import centroids
@@ -307,13 +314,16 @@ def centroid_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embedding_topics(spark: SparkSession, d: str) -> DataFrame:
-    """ML36 stand-in: bisecting k-means over embeddings, then merging of near centres; sizes by topic."""
+    """ML36 stand-in: bisecting k-means over embeddings, then merging of near centres (cosine at least 0.65); sizes by topic."""
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
     e = table(spark, d, "embeddings").select("vec_id", "embedding", array_to_vector("embedding").alias("features"))
     model = BisectingKMeans(k=10, seed=1).fit(e)
-    return model.transform(e).groupBy(F.col("prediction").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+    centres = spark.createDataFrame([(str(i), list(map(float, c))) for i, c in enumerate(model.clusterCenters())], "topic string, centre array<double>")
+    roots = tp.merge_topics(centres, "topic", "centre")
+    found = model.transform(e).select(F.col("prediction").cast("string").alias("topic"))
+    return found.join(roots, "topic").groupBy(F.col("root").cast("int").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- sentiment rules, entities of the schedule, pages
