@@ -27,6 +27,9 @@ def test_query_equals_brute_force(spark, data):
     want = {(a, b) for a, b in itertools.combinations(sorted(rows), 2) if jaccard(rows[a], rows[b]) >= 0.6 - 1e-12}
     got = [tuple(r) for r in queries_groups.p3_found(spark, data).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    from tests.compare import connect, sql_rows
+
+    assert set(sql_rows(connect(data), queries_groups.ORACLES["p3_found"])[1]) == want
 
 
 def _edited(rng, t, edits):

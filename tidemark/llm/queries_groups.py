@@ -66,4 +66,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
-ORACLES: dict[str, str] = {}
+# all pairs of texts that share a substring, exactly; for tables of the size of the SQL check
+_PAIRS_SQL = f"""
+WITH p AS (SELECT DISTINCT post_id, text, md5(text) AS h FROM merged_post WHERE post_id IS NOT NULL AND length(text) >= {LEAST_POINTS}),
+t AS (SELECT DISTINCT h, text FROM p),
+s AS (SELECT DISTINCT h, substr(text, i, 3) AS g FROM (SELECT h, text, unnest(generate_series(1, length(text) - 2)) AS i FROM t)),
+n AS (SELECT h, count(*) AS n FROM s GROUP BY h),
+c AS (SELECT x.h AS a, y.h AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.h < y.h GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.h = a JOIN n y ON y.h = b WHERE m >= {THRESHOLD} * (x.n + y.n - m) - 1e-9 UNION ALL SELECT h, h FROM t)
+SELECT least(x.post_id, y.post_id) AS post_id_a, greatest(x.post_id, y.post_id) AS post_id_b FROM l JOIN p x ON x.h = a JOIN p y ON y.h = b WHERE (a <> b AND x.post_id <> y.post_id) OR (a = b AND x.post_id < y.post_id)
+"""
+ORACLES: dict[str, str] = {"p3_found": _PAIRS_SQL}
