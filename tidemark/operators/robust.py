@@ -142,14 +142,14 @@ def transform_choice(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def wasserstein(a: DataFrame, b: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """(keys, distance): area between the two distribution functions, over the merged values in order."""
+    """(keys, distance, ks): area and greatest distance between the two distribution functions, over the merged values in order."""
     both = a.select(*keys, x, F.lit(1.0).alias("wa"), F.lit(0.0).alias("wb")).unionByName(b.select(*keys, x, F.lit(0.0).alias("wa"), F.lit(1.0).alias("wb"))).where(F.col(x).isNotNull())
     at = both.groupBy(*keys, x).agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
     w, whole = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     gap = F.lead(x).over(w) - F.col(x)
-    d = F.abs(F.sum("wa").over(run) / F.sum("wa").over(whole) - F.sum("wb").over(run) / F.sum("wb").over(whole)) * gap
-    return at.select(*keys, d.alias("d_")).groupBy(*keys).agg(F.sum("d_").alias("distance"))
+    apart = F.abs(F.sum("wa").over(run) / F.sum("wa").over(whole) - F.sum("wb").over(run) / F.sum("wb").over(whole))
+    return at.select(*keys, apart.alias("a_"), (apart * gap).alias("d_")).groupBy(*keys).agg(F.sum("d_").alias("distance"), F.max("a_").alias("ks"))
 
 
 def spikes(df: DataFrame, partition: list[str], x: str, k: float = 10.0) -> DataFrame:

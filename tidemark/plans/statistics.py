@@ -243,28 +243,40 @@ def normal_mask_pad(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HALF = "TIMESTAMP '2025-06-15'"
-_W1 = f"WITH {_LONG}, b AS (SELECT feature, value, sum(CAST(ts < {_HALF} AS DOUBLE)) AS wa, sum(CAST(ts >= {_HALF} AS DOUBLE)) AS wb FROM long GROUP BY 1, 2), k AS (SELECT feature, abs(sum(wa) OVER w / sum(wa) OVER (PARTITION BY feature) - sum(wb) OVER w / sum(wb) OVER (PARTITION BY feature)) * (lead(value) OVER (PARTITION BY feature ORDER BY value) - value) AS d FROM b WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)), w1 AS (SELECT feature, sum(d) AS distance FROM k GROUP BY 1)"
+_W1 = f"WITH {_LONG}, b AS (SELECT feature, value, sum(CAST(ts < {_HALF} AS DOUBLE)) AS wa, sum(CAST(ts >= {_HALF} AS DOUBLE)) AS wb FROM long GROUP BY 1, 2), k AS (SELECT feature, abs(sum(wa) OVER w / sum(wa) OVER (PARTITION BY feature) - sum(wb) OVER w / sum(wb) OVER (PARTITION BY feature)) AS a, lead(value) OVER (PARTITION BY feature ORDER BY value) - value AS gap FROM b WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)), w1 AS (SELECT feature, sum(a * gap) AS distance, max(a) AS ks FROM k GROUP BY 1)"
 
 
-@query(_W1 + " SELECT feature, round(distance, 5) AS distance FROM w1")
+@query(_W1 + " SELECT feature, round(distance, 5) AS distance, round(ks, 6) AS ks FROM w1")
 def wasserstein1(spark: SparkSession, d: str) -> DataFrame:
     """ML32: between the first and the second part of the year."""
     long = _long(spark, d)
     half = f"TIMESTAMP_NTZ '{_HALF.split(chr(39))[1]} 00:00:00'"
-    return rb.wasserstein(long.where(f"ts < {half}"), long.where(f"ts >= {half}"), ["feature"], "value").select("feature", r(F.col("distance"), 5).alias("distance"))
+    return rb.wasserstein(long.where(f"ts < {half}"), long.where(f"ts >= {half}"), ["feature"], "value").select("feature", r(F.col("distance"), 5).alias("distance"), r(F.col("ks")).alias("ks"))
 
 
-@query(f"WITH {_LONG}, s AS (SELECT feature, avg(value) FILTER (ts < {_HALF}) AS ma, avg(value) FILTER (ts >= {_HALF}) AS mb, stddev_pop(value) FILTER (ts < {_HALF}) AS sa, stddev_pop(value) FILTER (ts >= {_HALF}) AS sb FROM long GROUP BY 1), e AS (SELECT *, abs(ma - mb) / greatest(abs(ma), 1e-6) AS em, abs(sa - sb) / greatest(sa, 1e-6) AS es FROM s) SELECT feature, round(em, 5) AS mean_error, round(es, 5) AS std_error, CASE WHEN em < 0.05 AND es < 0.1 THEN 'S' WHEN em < 0.1 AND es < 0.2 THEN 'A' WHEN em < 0.2 AND es < 0.4 THEN 'B' ELSE 'C' END AS grade FROM e")
+_SKEW = "(avg(pow(value, 3)) FILTER ({0}) - 3 * avg(value) FILTER ({0}) * avg(value * value) FILTER ({0}) + 2 * pow(avg(value) FILTER ({0}), 3)) / nullif(pow(stddev_pop(value) FILTER ({0}), 3), 0)"
+
+
+@query(
+    f"{_W1}, s AS (SELECT feature, avg(value) FILTER (ts < {_HALF}) AS ma, avg(value) FILTER (ts >= {_HALF}) AS mb, stddev_pop(value) FILTER (ts < {_HALF}) AS sa, stddev_pop(value) FILTER (ts >= {_HALF}) AS sb, abs({_SKEW.format(f'ts < {_HALF}')} - {_SKEW.format(f'ts >= {_HALF}')}) AS ek FROM long GROUP BY 1), "
+    "e AS (SELECT s.feature, abs(ma - mb) / greatest(abs(ma), 1e-6) AS em, abs(sa - sb) / greatest(sa, 1e-6) AS es, coalesce(ek, 0) AS ek, distance / greatest(sa, 1e-6) AS ed, ks FROM s JOIN w1 USING (feature)) "
+    "SELECT feature, round(em, 5) AS mean_error, round(es, 5) AS std_error, round(ek, 3) AS skew_error, round(ed, 5) AS distance, round(ks, 6) AS ks, CASE WHEN em < 0.05 AND es < 0.1 AND ek < 0.25 AND ed < 0.05 THEN 'S' WHEN em < 0.1 AND es < 0.2 AND ek < 0.5 AND ed < 0.1 THEN 'A' WHEN em < 0.2 AND es < 0.4 AND ek < 1 AND ed < 0.2 THEN 'B' ELSE 'C' END AS grade FROM e"
+)
 def grade_card(spark: SparkSession, d: str) -> DataFrame:
-    """ML31, ML32."""
+    """ML31, ML32: how far the second part of the year is from the first in mean, deviation, skewness and distribution."""
     long = _long(spark, d)
     first = F.col("ts") < F.lit("2025-06-15 00:00:00").cast("timestamp_ntz")
     pick = lambda fn, c: fn(F.when(c, F.col("value")))
-    s = long.groupBy("feature").agg(pick(F.avg, first).alias("ma"), pick(F.avg, ~first).alias("mb"), pick(F.stddev_pop, first).alias("sa"), pick(F.stddev_pop, ~first).alias("sb"))
+    s = long.groupBy("feature").agg(pick(F.avg, first).alias("ma"), pick(F.avg, ~first).alias("mb"), pick(F.stddev_pop, first).alias("sa"), pick(F.stddev_pop, ~first).alias("sb"), pick(F.skewness, first).alias("ka"), pick(F.skewness, ~first).alias("kb"))
     em = F.abs(F.col("ma") - F.col("mb")) / F.greatest(F.abs("ma"), F.lit(1e-6))
     es = F.abs(F.col("sa") - F.col("sb")) / F.greatest(F.col("sa"), F.lit(1e-6))
-    grade = F.when((em < 0.05) & (es < 0.1), "S").when((em < 0.1) & (es < 0.2), "A").when((em < 0.2) & (es < 0.4), "B").otherwise("C")
-    return s.select("feature", r(em, 5).alias("mean_error"), r(es, 5).alias("std_error"), grade.alias("grade"))
+    ek = F.coalesce(tr.clean(F.abs(F.col("ka") - F.col("kb"))), F.lit(0.0))
+    w = rb.wasserstein(long.where(first), long.where(~first), ["feature"], "value")
+    e = s.join(w, "feature").select("feature", em.alias("em"), es.alias("es"), ek.alias("ek"), (F.col("distance") / F.greatest(F.col("sa"), F.lit(1e-6))).alias("ed"), "ks")
+    grade = F.lit("C")
+    for name, m, sd, k, dist in (("B", 0.2, 0.4, 1.0, 0.2), ("A", 0.1, 0.2, 0.5, 0.1), ("S", 0.05, 0.1, 0.25, 0.05)):
+        grade = F.when((F.col("em") < m) & (F.col("es") < sd) & (F.col("ek") < k) & (F.col("ed") < dist), name).otherwise(grade)
+    return e.select("feature", r(F.col("em"), 5).alias("mean_error"), r(F.col("es"), 5).alias("std_error"), r(F.col("ek"), 3).alias("skew_error"), r(F.col("ed"), 5).alias("distance"), r(F.col("ks")).alias("ks"), grade.alias("grade"))
 
 
 @query(f"WITH {OFFICIAL}, {WINDOWS} SELECT official_uid, post_id, ts, window_id, round(abs(epoch_us(t) - epoch_us(ts)) / 1000000.0, 3) AS distance_s FROM (SELECT o.official_uid, o.post_id, o.ts, f.window_id, f.\"timestamp\" AS t, row_number() OVER (PARTITION BY o.official_uid, o.post_id, o.ts ORDER BY abs(epoch_us(f.\"timestamp\") - epoch_us(o.ts)), f.\"timestamp\", f.window_id) AS k FROM (SELECT DISTINCT official_uid, post_id, ts FROM official WHERE ts IS NOT NULL) o JOIN w19 f ON o.official_uid = f.official_uid AND f.\"timestamp\" BETWEEN o.ts - INTERVAL 900 SECOND AND o.ts + INTERVAL 900 SECOND) WHERE k = 1")
