@@ -65,9 +65,12 @@ def cleaned(c: Column) -> Column:
     """ASCII digits and signs, one kind of space, no invisible characters or outer blanks."""
     wide = "".join(chr(0xFF01 + i) for i in range(94))
     narrow = "".join(chr(0x21 + i) for i in range(94))
+    given = c
     c = F.translate(c, wide + "−‐‑", narrow + "---")
     c = F.regexp_replace(c, r"[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]", "")
-    return F.trim(F.regexp_replace(c, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+    c = F.trim(F.regexp_replace(c, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+    # most values are ASCII with single spaces inside, and clean as they are
+    return F.when(given.rlike(r"\A[\x21-\x7E]+(?: [\x21-\x7E]+)*\z"), given).otherwise(c)
 
 
 def abbreviations(first: int = 2015, last: int = 2035) -> dict[str, int]:
@@ -121,7 +124,9 @@ def _split(text: Column) -> Column:
 
     One replacement by the form's groups picks all parts at once; parts that the form lacks are ''.
     """
-    out = F.when(text.rlike(_BARE), F.array(F.lit("bare"))).when(text.rlike(_AGO), F.array(F.lit("ago")))
+    cut = [F.substring(text, a, n) for a, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))]
+    plain = F.array(F.lit("ymd"), *cut, F.lit(""), F.lit(""))  # the most frequent form, without groups
+    out = F.when(text.rlike(_STANDARD), plain).when(text.rlike(_BARE), F.array(F.lit("bare"))).when(text.rlike(_AGO), F.array(F.lit("ago")))
     for name, (pattern, groups) in FORMS.items():
         parts = _SEP.join([name, *(f"${g}" if g else "" for g in groups)])
         out = out.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, parts), _SEP))
