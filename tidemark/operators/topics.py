@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import cosine
+from tidemark.session import materialize
 
 
 def vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
@@ -16,9 +17,11 @@ def vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
 def class_tf_idf(df: DataFrame, cls: str, tokens: Column) -> DataFrame:
     """(cls, word, n, weight): term counts times log(1 + A / (count in all classes + 1)), scaled to sum 1 in each class.
 
-    A is the mean number of words of a class. Two aggregations; the totals are one row, joined as such.
+    A is the mean number of words of a class. Two aggregations; the totals are one row, joined as such. The texts are cut
+    into words once: the counts are written to the shared folder.
     """
     tf = df.select(cls, F.explode(tokens).alias("word")).groupBy(cls, "word").agg(F.count(F.lit(1)).alias("n"))
+    tf = materialize(tf, "terms")
     words = tf.groupBy("word").agg(F.sum("n").alias("all_"))
     mean = tf.agg((F.sum("n") / F.count_distinct(cls)).alias("a_"))
     raw = tf.join(words, "word").join(mean).withColumn("w_", F.col("n") * F.ln(1 + F.col("a_") / (F.col("all_") + 1)))
